@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
 from .common import documents
+from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .token_counts import count_tokens
 from .topk import top_k
@@ -54,6 +55,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+c AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links
+FROM documents LEFT JOIN k ON k.a = doc_id LEFT JOIN c ON c.a = doc_id
+"""
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -71,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_join": op5_ngram_join,
     "op6_top_k": op6_top_k,
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op6_top_k": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op5_ngram_join": OP5_SQL, "op6_top_k": OP6_SQL}
