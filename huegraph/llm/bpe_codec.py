@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import resolve_vocabulary, text_batches, with_columns
+from .common import fields, resolve_vocabulary, text_batches, with_columns
 
 MODEL = "word_bpe_49k.json"
 
@@ -105,5 +105,4 @@ def encode_decode(docs: DataFrame, text: str = "text", model: str = MODEL, cache
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join([b for b, _ in made]), np.int32)))
             yield with_columns(batch, ["text"], ids=ids, decoded=pa.array([d for _, d in made], pa.string()))
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema)
-    return docs.select(*kept, F.col(text).alias("text")).mapInArrow(coded, schema + "ids array<int>, decoded string")
+    return docs.select(*kept, F.col(text).alias("text")).mapInArrow(coded, fields(docs.select(*kept)) + "ids array<int>, decoded string")

@@ -65,10 +65,10 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
 
 
-def text_batches(batches, size: int = BATCH_CHARS):
-    """Split Arrow batches (first column ``text``) into (offset, texts) runs of bounded size."""
+def text_batches(batches, size: int = BATCH_CHARS, name: str = "text"):
+    """Split Arrow batches with a column ``name`` of texts into (batch, texts) runs of bounded size."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
+        texts = batch.column(name).to_pylist()
         start, held = 0, 0
         for i, text in enumerate(texts):
             held += len(text or "")
@@ -85,6 +85,11 @@ def with_columns(batch: pa.RecordBatch, drop: list[str], **columns: pa.Array) ->
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *columns.values()], names=[*keep, *columns])
 
 
+def fields(df: DataFrame) -> str:
+    """The columns of ``df`` as the start of a schema text."""
+    return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.schema)
+
+
 def resolve_vocabulary(name_or_path: str) -> str:
     """A vocabulary file by path, or by name among the installed public tokenizers. Called on workers."""
     import os

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
-from .common import documents
+from .common import crc_mod, documents
+from .langid import identify, train
 from .ngram_join import ngram_join
+from .packing import best_fit_pack
 from .quality_rules import quality_rules
 from .token_counts import count_tokens
 from .topk import top_k
@@ -87,11 +89,24 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 5
 """
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = crc_mod("doc_id", 4)
+    model = train(docs.filter(fold != 2))
+    return identify(docs.select("doc_id", "text", (fold == 2).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(count_tokens(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_tokens"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_join": op5_ngram_join,
     "op6_top_k": op6_top_k,
+    "op7_language_id": op7_language_id,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op5_ngram_join": OP5_SQL, "op6_top_k": OP6_SQL}
