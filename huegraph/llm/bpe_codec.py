@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ MODEL = "word_bpe_49k.json"
 class Codec:
     """Encoder and decoder of one worker for a BPE vocabulary whose words end with a suffix."""
 
-    def __init__(self, model: str = MODEL, cache: int = 200_000):
+    def __init__(self, model: str = MODEL, cache: int = 300_000):
+        import regex
         from tokenizers import Tokenizer, models
 
         path = resolve_vocabulary(model)
@@ -45,30 +47,50 @@ class Codec:
         self.special_re = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         #: Adjacent characters (each one byte in the vocabulary's alphabet) inside some token.
         bodies = [t.removesuffix(self.suffix) for t in bpe["vocab"]]
-        self.joined = {t[i : i + 2] for t in bodies for i in range(len(t) - 1)}
-        self.chunks, self.most = {}, cache
+        self.joined = {p for t in bodies for p in zip(t, t[1:], strict=False)}
+        #: Text below U+0250 is its own NFC form: lower case and the model's own pattern do what the library does.
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words_of, self.simple = regex.compile(pattern).findall, re.compile("[\x00-\u024f]*").fullmatch
+        self.alphabet = _byte_alphabet()
+        self.words, self.chunks, self.most = {}, {}, cache
 
     def fragments(self, word: str) -> list[str]:
         """``word`` cut at every pair of bytes that no token holds."""
-        cuts = [i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in self.joined]
+        if self.joined.issuperset(zip(word, word[1:], strict=False)):
+            return [word]
+        cuts = [i + 1 for i in range(len(word) - 1) if (word[i], word[i + 1]) not in self.joined]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def _word(self, word: str) -> list[int]:
-        *inner, last = self.fragments(word)
-        return [t.id for f in inner for t in self.inner.tokenize(f)] + [t.id for t in self.last.tokenize(last)]
+    def _word(self, word: str) -> tuple[bytes, str]:
+        """Ids and tokens of one pre-token in the vocabulary's alphabet."""
+        made = self.words.get(word)
+        if made is None:
+            *inner, last = self.fragments(word)
+            found = [t for f in inner for t in self.inner.tokenize(f)] + self.last.tokenize(last)
+            made = array("i", [t.id for t in found]).tobytes(), " ".join([t.value for t in found])
+            if len(word) <= 64:
+                if len(self.words) >= self.most:
+                    self.words.clear()
+                self.words[word] = made
+        return made
 
-    def _plain(self, chunk: str) -> list[int]:
-        return [i for word, _ in self.split(self.normalize(chunk)) for i in self._word(word)]
+    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+        if self.simple(text):
+            words = self.words_of(text.lower())
+            if not (text.isascii() and text.isprintable()):
+                words = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.alphabet) for w in words]
+            return [self._word(w) for w in words]
+        return [self._word(w) for w, _ in self.split(self.normalize(text))]
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids (as bytes of int32) and decoded text of a run without spaces and line feeds."""
-        ids: list[int] = []
+        parts: list[tuple[bytes, str]] = []
         for part in self.special_re.split(chunk) if self.special_re and "<" in chunk else [chunk]:
             if part in self.special:
-                ids.append(self.special[part])
+                parts.append((array("i", [self.special[part]]).tobytes(), part))
             elif part:
-                ids += self._plain(part)
-        made = np.array(ids, np.int32).tobytes(), self.decode(ids)
+                parts += self._plain(part)
+        made = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
         if len(chunk) <= 64:
             if len(self.chunks) >= self.most:
                 self.chunks.clear()
@@ -88,7 +110,14 @@ class Codec:
         return " ".join([names[i] for i in ids if i in names])
 
 
-def encode_decode(docs: DataFrame, text: str = "text", model: str = MODEL, cache: int = 200_000) -> DataFrame:
+def _byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes: printable Latin-1 for itself, all others from U+0100 on, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def encode_decode(docs: DataFrame, text: str = "text", model: str = MODEL, cache: int = 300_000) -> DataFrame:
     """Append ``ids`` (array<int>) and ``decoded`` (string), the ids decoded again; ``text`` goes.
 
     Null and empty texts: no ids and an empty string. Rows and other columns stay; input columns named
