@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,43 @@ def text_batches(batches, size: int = BATCH_CHARS, name: str = "text"):
             yield batch.slice(start), texts[start:]
 
 
+def byte_windows(texts: list[bytes], size: int, tail: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of ``size`` bytes of all texts (``tail`` more bytes of the next one behind each, zeros behind the
+    text), the text each belongs to, and its bytes. A text has one window at least."""
+    counts = np.array([max(1, -(-len(b) // size)) for b in texts], np.int64)
+    x = np.zeros((counts.sum(), size + tail), np.uint8)
+    filled = np.zeros(len(x))
+    row = 0
+    for b, n in zip(texts, counts, strict=True):
+        flat = np.zeros(n * size + tail, np.uint8)
+        flat[: len(b)] = np.frombuffer(b, np.uint8)
+        x[row : row + n] = np.lib.stride_tricks.sliding_window_view(flat, size + tail)[::size]
+        filled[row : row + n] = np.clip(len(b) - size * np.arange(n), 0, size)
+        row += n
+    return x, np.repeat(np.arange(len(texts)), counts), filled
+
+
+class Adam:
+    """Adam over a dictionary of arrays."""
+
+    def __init__(self, params: dict[str, np.ndarray], rate: float):
+        self.p, self.rate, self.t = params, rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in params.items()}
+        self.v = {k: np.zeros_like(v) for k, v in params.items()}
+
+    def step(self, g: dict[str, np.ndarray]) -> None:
+        self.t += 1
+        for k, d in g.items():
+            self.m[k] += 0.1 * (d - self.m[k])
+            self.v[k] += 0.001 * (d * d - self.v[k])
+            m, v = self.m[k] / (1 - 0.9**self.t), self.v[k] / (1 - 0.999**self.t)
+            self.p[k] -= (self.rate * m / (np.sqrt(v) + 1e-8)).astype(self.p[k].dtype)
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
 def with_columns(batch: pa.RecordBatch, drop: list[str], **columns: pa.Array) -> pa.RecordBatch:
     """``batch`` without the columns ``drop`` and with ``columns`` appended."""
     keep = [n for n in batch.schema.names if n not in drop and n not in columns]

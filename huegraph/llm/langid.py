@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fields, text_batches, with_columns
+from .common import Adam, bounded_sample, byte_windows, fields, text_batches, with_columns
 
 WINDOW, STEP, TAIL = 256, 2, 4
 EMBED, WIDTHS = 8, (2,) * 10 + (3,) * 11 + (4,) * 11
@@ -95,42 +95,11 @@ class ByteConvNet:
         return _softmax(np.maximum(hidden, 0) @ self.p["out"] + self.p["out_b"])
 
 
-class Adam:
-    def __init__(self, params: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.t = params, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in params.items()}
-        self.v = {k: np.zeros_like(v) for k, v in params.items()}
-
-    def step(self, g: dict[str, np.ndarray]) -> None:
-        self.t += 1
-        for k, d in g.items():
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.v[k] += 0.001 * (d * d - self.v[k])
-            m, v = self.m[k] / (1 - 0.9**self.t), self.v[k] / (1 - 0.999**self.t)
-            self.p[k] -= (self.rate * m / (np.sqrt(v) + 1e-8)).astype(self.p[k].dtype)
-
-
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of all texts (they overlap by TAIL bytes, the last one is filled with zeros), the text each
-    belongs to, and its bytes. A text has one window at least."""
-    counts = np.array([max(1, -(-len(b) // WINDOW)) for b in texts])
-    x = np.zeros((counts.sum(), WINDOW + TAIL), np.uint8)
-    weight = np.zeros(len(x))
-    row = 0
-    for b, n in zip(texts, counts, strict=True):
-        flat = np.zeros(n * WINDOW + TAIL, np.uint8)
-        flat[: len(b)] = np.frombuffer(b, np.uint8)
-        x[row : row + n] = np.lib.stride_tricks.sliding_window_view(flat, WINDOW + TAIL)[::WINDOW]
-        weight[row : row + n] = np.clip(len(b) - WINDOW * np.arange(n), 1, WINDOW)
-        row += n
-    return x, np.repeat(np.arange(len(texts)), counts), weight
-
-
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 4_000) -> ByteConvNet | None:
     """Fit on at most ``sample_rows`` labelled rows (those with the smallest hashed ids), two windows of each. None
     where no row is labelled."""
@@ -141,7 +110,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         return None
     langs = sorted({r.lang for r in rows})
     parts = [(p.encode("utf-8", "surrogatepass")[:WINDOW], langs.index(r.lang)) for r in rows for p in (r.a, r.b)]
-    x, _, _ = windows([p for p, _ in parts])
+    x, _, _ = byte_windows([p for p, _ in parts], WINDOW, TAIL)
     return ByteConvNet(langs).fit(x, np.array([y for _, y in parts]))
 
 
@@ -163,7 +132,7 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text") ->
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             have = [i for i, t in enumerate(texts) if t is not None] if net else []
             if have:
-                x, owner, weight = windows([texts[i].encode("utf-8", "surrogatepass") for i in have])
+                x, owner, weight = byte_windows([texts[i].encode("utf-8", "surrogatepass") for i in have], WINDOW, TAIL)
                 probs = net.probabilities(x, tables) * weight[:, None]
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 mean = np.add.reduceat(probs, starts) / np.add.reduceat(weight, starts)[:, None]

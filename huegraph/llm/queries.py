@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
-from .common import crc_mod, documents
+from .common import crc_mod, documents, labels
 from .langid import identify, train
 from .ngram_join import ngram_join
 from .packing import best_fit_pack
+from .quality_mil import score_quality
+from .quality_mil import train as train_quality
 from .quality_rules import quality_rules
 from .token_counts import count_tokens
 from .topk import top_k
@@ -96,6 +98,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", (fold == 2).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = documents(spark, sf_dir), crc_mod("doc_id", 5)
+    model = train_quality(docs, labels(spark, sf_dir).filter(fold != 0))
+    scored = score_quality(docs.select("doc_id", "text", (fold == 0).alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(count_tokens(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_tokens"))
 
@@ -107,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_top_k": op6_top_k,
     "op7_language_id": op7_language_id,
+    "op9_quality": op9_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op5_ngram_join": OP5_SQL, "op6_top_k": OP6_SQL}
