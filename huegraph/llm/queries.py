@@ -17,6 +17,8 @@ from .quality_mil import train as train_quality
 from .quality_rules import quality_rules
 from .token_counts import count_tokens
 from .topk import top_k
+from .toxicity import score_toxicity
+from .toxicity import train as train_toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +100,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", (fold == 2).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = documents(spark, sf_dir), crc_mod("doc_id", 5)
+    model = train_toxicity(docs, labels(spark, sf_dir).filter(fold != 0))
+    scored = score_toxicity(docs.select("doc_id", "text", (fold == 0).alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = documents(spark, sf_dir), crc_mod("doc_id", 5)
     model = train_quality(docs, labels(spark, sf_dir).filter(fold != 0))
@@ -116,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_top_k": op6_top_k,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
