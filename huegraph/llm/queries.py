@@ -12,6 +12,8 @@ from .common import crc_mod, documents, labels
 from .langid import identify, train
 from .ngram_join import ngram_join
 from .packing import best_fit_pack
+from .pii import find_pii
+from .pii import train as train_pii
 from .quality_mil import score_quality
 from .quality_mil import train as train_quality
 from .quality_rules import quality_rules
@@ -27,6 +29,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = find_pii(docs.select("doc_id", "text"), train_pii(docs))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    kinds = F.array(*(F.lit(k) for k in ("email", "ip", "card", "phone")))
+    keyed = F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
+    rows = found.select("doc_id", F.sha2(text(F.col("base")), 256).alias("base_sha256"), F.array_sort(keyed).alias("spans"))
+    return rows.select("doc_id", *(count(k) for k in ("email", "ip", "card", "phone")), "base_sha256", text(F.col("spans")).alias("spans"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(documents(spark, sf_dir).select("doc_id", "text"))
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -120,6 +133,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_pii": op2_pii,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_join": op5_ngram_join,
