@@ -33,11 +33,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = find_pii(docs.select("doc_id", "text"), train_pii(docs))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     kinds = F.array(*(F.lit(k) for k in ("email", "ip", "card", "phone")))
     keyed = F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
-    rows = found.select("doc_id", F.sha2(text(F.col("base")), 256).alias("base_sha256"), F.array_sort(keyed).alias("spans"))
-    return rows.select("doc_id", *(count(k) for k in ("email", "ip", "card", "phone")), "base_sha256", text(F.col("spans")).alias("spans"))
+    counts = [count(k) for k in ("email", "ip", "card", "phone")]
+    spans = text(F.array_sort(keyed))
+    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_pack(count_tokens(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_tokens"))
+    counted = count_tokens(documents(spark, sf_dir).select("doc_id", "text"), frequent=0)
+    return best_fit_pack(counted.select("doc_id", "n_tokens"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
