@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +55,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """SQL settings (dots written as double underscores) for the actions inside, put back afterwards."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def crc_mod(column: str | Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; a null id counts as the empty text."""
     c = F.col(column) if isinstance(column, str) else column
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows of ``df``, those with the smallest hash of ``key``: the same rows however
-    the table is partitioned. Only for fitting classifiers."""
+def bounded_sample(df: DataFrame, key: str, rows: int, over: int = 2, of: DataFrame | None = None) -> DataFrame:
+    """At most ``rows`` rows of ``df``, those with the smallest hash of ``key``: the same rows however the table is
+    partitioned. Only for fitting classifiers.
+
+    Hashes above a share of ``over * rows`` rows of ``of`` (``df`` where it is not given; counted first) are filtered where
+    they are read, so that what the tasks send together does not grow with their number.
+    """
+    n = (df if of is None else of).select(key).count()
+    if n > over * rows:
+        df = df.filter(F.xxhash64(F.col(key)) <= -(2**63) + int(2**64 * over * rows / n))
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
 
 

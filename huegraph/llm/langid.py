@@ -103,9 +103,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 4_000) -> ByteConvNet | None:
     """Fit on at most ``sample_rows`` labelled rows (those with the smallest hashed ids), two windows of each. None
     where no row is labelled."""
-    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
+    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL")
     at = lambda salt: F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW))
-    rows = bounded_sample(known.select("doc_id", "lang", at(1).alias("a"), at(2).alias("b")), "doc_id", sample_rows).collect()
+    used = known.filter(F.length("text") > 0).select("doc_id", "lang", at(1).alias("a"), at(2).alias("b"))
+    rows = sorted(bounded_sample(used, "doc_id", sample_rows, of=known).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.a))
     if not rows:
         return None
     langs = sorted({r.lang for r in rows})

@@ -362,8 +362,9 @@ def training_windows(texts: list[str], made_up: int, seed: int = 5) -> tuple[np.
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 400, sample_chars: int = 4_000, made_up: int = 2_500) -> BiLstmCrf:
     """Fit on the first ``sample_chars`` characters of at most ``sample_rows`` texts with a trigger (smallest hashed
     ids), labelled by the base patterns, and ``made_up`` made-up windows."""
-    part = docs.select(F.col(doc_id).alias("doc_id"), F.substring(F.col(text), 1, sample_chars).alias("t")).filter(F.col("t").rlike(TRIGGER))
-    texts = sorted(r.t for r in bounded_sample(part, "doc_id", sample_rows).collect())
+    every = docs.select(F.col(doc_id).alias("doc_id"), F.substring(F.col(text), 1, sample_chars).alias("t"))
+    part = bounded_sample(every.filter(F.col("t").rlike(TRIGGER)), "doc_id", sample_rows, over=16, of=every)
+    texts = sorted(r.t for r in part.collect())
     return BiLstmCrf().fit(*training_windows(texts, made_up))
 
 

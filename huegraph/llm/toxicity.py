@@ -194,7 +194,18 @@ def select_features(toxic: list[set[str]], clean: list[set[str]], least: int = 8
     return chosen, math.log((bare[0] + 0.5) / (bare[1] + 1))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 6_000, sample_chars: int = 8_000, least: int = 8) -> ToxicModel:
+def least_support(toxic: int, clean: list[set[str]], most: int = 8) -> int:
+    """The number of toxic documents a feature needs so that fewer than one word of the clean kind is expected to be
+    in so many toxic documents and no other by chance; ``most`` suffices in any case."""
+    odds = toxic / max(1, len(clean))
+    by_support = Counter(Counter(w for d in clean for w in d).values())
+    for k in range(3, most):
+        if 3 * sum(n * odds**j for j, n in by_support.items() if j >= k) < 1:
+            return k
+    return most
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 6_000, sample_chars: int = 8_000) -> ToxicModel:
     """The language model of all of ``docs``, and weights from at most ``sample_rows`` labelled documents (smallest
     hashed ids; of each at most ``sample_chars`` characters). Without labels of both kinds there are no weights."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").dropDuplicates(["doc_id"])
@@ -206,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     for r in sorted({(r.doc_id, r.t, r.y) for r in rows}):
         words[r[2]].append({w for token in set(text_tokens(r[1])) for w in token_words(token, chars)})
     toxic = [{f for w in bag for f in word_features(w)} for bag in distinct_bags(words[1])]
+    least = least_support(len(toxic), words[0])
     usable = {f for f, n in Counter(f for d in toxic for f in d).items() if n >= least}
     clean = [{f for w in bag for f in word_features(w) if f in usable} for bag in words[0]]
     if not toxic or not clean:
