@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import resolve_vocabulary, text_batches
+from .common import materialize, resolve_vocabulary, text_batches
 
 MODEL = "piece_bpe_32k.model"
 _PRE = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
@@ -82,27 +82,32 @@ def frequent_pre_tokens(docs: DataFrame, rows: int, summary_rows: int, text: str
         for _, texts in text_batches(batches):
             for t in texts:
                 counts.update(pre_tokens(t or ""))
-                if len(counts) > 400_000:
+                if len(counts) > 200_000:
                     counts = Counter({p: n for p, n in counts.items() if n > least})
                     least += 1
         top = [(p, n) for p, n in counts.most_common(summary_rows) if len(p) <= 32]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["pre", "n"])
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(summaries, "pre string, n long")
-    top = found.groupBy("pre").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre").limit(rows)
+    found = materialize(found.groupBy("pre").agg(F.sum("n").alias("n")), "pre")
+    # at most 4 * rows entries can have such a share of the total, whatever the number of tasks
+    total = found.agg(F.sum("n")).first()[0] or 0
+    top = found.filter(F.col("n") * (4 * rows) >= total).orderBy(F.desc("n"), "pre").limit(rows)
     return [r.pre for r in top.collect()]  # bounded: rows x 32 characters
 
 
-def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", model: str = MODEL, frequent: int = 32_768, summary_rows: int = 4_096, cache: int = 600_000) -> DataFrame:
+def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", model: str = MODEL, frequent: int = 32_768, summary_rows: int = 4_096, cache: int = 300_000) -> DataFrame:
     """Append ``out`` (long): the number of tokens of the whole ``text``, without added tokens.
 
     Null and empty texts: 0. Rows, repeated ones too, and all other columns stay as they are; an
-    input column named ``out`` is replaced. An empty table gives an empty table. ``model``: name or
+    input column named ``out`` is replaced. An empty table gives an empty table. ``frequent``: size of tier one; 0 does
+    without it and its pass over the corpus, the counts are the same. ``model``: name or
     path of a sentencepiece model; the path must be readable on every worker.
     """
     spark = docs.sparkSession
     sp = _load(model)
-    first = {p: _length(p, sp.encode) for p in frequent_pre_tokens(docs, frequent, summary_rows, text)}
+    top = frequent_pre_tokens(docs, frequent, summary_rows, text) if frequent else []
+    first = {p: _length(p, sp.encode) for p in top}
     shared = spark.sparkContext.broadcast(first)  # at most ``frequent`` entries of 32 characters
 
     def counted(texts_iter):
