@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_batches, with_columns
+from .common import materialize, settings, text_batches, with_columns
 from .components import components
 
+_BLOOM = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__optimizer__runtime__bloomFilter__enabled": "true", "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0", "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1g"}
 _WORD = re.compile(r"[^ \t-\r]+")
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -275,11 +276,14 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     known = families.join(reps.select("rep", "copies", "n", "k1", "k2"), families.id == reps.rep).select("rep", F.col("root").alias("family"), "copies", "n", "k1", "k2")
     known = materialize(known, "families")
     sizes = known.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_size)).cast("int").alias("blocks"))
-    texts = known.join(source.withColumnRenamed("id", "rep"), "rep").join(sizes, "family").withColumn("block", spread(F.col("blocks"), 3))
+    # the same plan at every size: texts are shuffled by id, and a Bloom filter of the members' ids (its size is fixed by
+    # Spark's settings) keeps those of all other documents out of the shuffle
+    texts = known.filter("copies >= 1").join(source.withColumnRenamed("id", "rep"), "rep").join(sizes, "family").withColumn("block", spread(F.col("blocks"), 3))
     texts = texts.withColumn("other", every(F.col("blocks"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     cut = ["family", "i", "j"]
     texts = texts.select(*cut, "block", "rep", "copies", "k1", "k2", "text").repartition(*cut).sortWithinPartitions(*cut)
-    links = materialize(texts.mapInArrow(lambda it: _verify(it, n, num, den), "rep long, links long, root long"), "links")
+    with settings(docs.sparkSession, **_BLOOM):
+        links = materialize(texts.mapInArrow(lambda it: _verify(it, n, num, den), "rep long, links long, root long"), "links")
     classes = components(links.filter("links > 0 AND rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
 
