@@ -115,8 +115,8 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 class BiLstmCrf:
     """Parameters, loss with gradients, and decoding."""
 
-    def __init__(self, seed: int = 5, embed: int = EMBED, hidden: int = HIDDEN):
-        rng = np.random.default_rng(seed)
+    def __init__(self, seed: int = 5, embed: int = EMBED, hidden: int = HIDDEN, dtype=np.float32):
+        rng, self.dtype = np.random.default_rng(seed), dtype
         h, n = hidden, max(_CHARS.values()) + 1
         draw = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b))
         self.h = h
@@ -129,13 +129,15 @@ class BiLstmCrf:
             self.banned[:, 2 + 2 * k] = -1e4
             self.banned[[1 + 2 * k, 2 + 2 * k], 2 + 2 * k] = 0
         self.banned_first = np.array([0.0] + [0.0, -1e4] * len(KINDS))
+        self.p = {k: v.astype(dtype) for k, v in self.p.items()}
+        self.banned, self.banned_first = self.banned.astype(dtype), self.banned_first.astype(dtype)
 
     def _direction(self, e: np.ndarray, d: str) -> tuple[np.ndarray, list]:
         """States of one direction; ``e`` comes in reading order."""
         p, h = self.p, self.h
         n, steps, _ = e.shape
         pre = e @ p[f"x{d}"] + p[f"b{d}"]
-        state, cell, out, kept = np.zeros((n, h)), np.zeros((n, h)), np.empty((n, steps, h)), []
+        state, cell, out, kept = np.zeros((n, h), self.dtype), np.zeros((n, h), self.dtype), np.empty((n, steps, h), self.dtype), []
         for t in range(steps):
             g = pre[:, t] + state @ p[f"h{d}"]
             ifo, new = sigmoid(g[:, : 3 * h]), np.tanh(g[:, 3 * h :])
@@ -151,8 +153,8 @@ class BiLstmCrf:
     def _back(self, e: np.ndarray, kept: list, dout: np.ndarray, d: str, g: dict) -> np.ndarray:
         p, h = self.p, self.h
         n, steps, _ = e.shape
-        dpre = np.empty((n, steps, 4 * h))
-        ds, dc = np.zeros((n, h)), np.zeros((n, h))
+        dpre = np.empty((n, steps, 4 * h), self.dtype)
+        ds, dc = np.zeros((n, h), self.dtype), np.zeros((n, h), self.dtype)
         dh = np.zeros_like(p[f"h{d}"])
         for t in reversed(range(steps)):
             i, f, o, new, before, last, th = kept[t]

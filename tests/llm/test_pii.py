@@ -43,7 +43,7 @@ def test_long_runs_are_linear():
 
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
-    net = BiLstmCrf(embed=3, hidden=4)
+    net = BiLstmCrf(embed=3, hidden=4, dtype=np.float64)
     x, y = rng.integers(1, 30, (3, 7)), np.zeros((3, 7), int)
     y[0, 2:4], y[1, :2], y[2, 4] = (1, 2), (5, 6), 7
     g = net.gradients(x, y)[1]
