@@ -67,14 +67,14 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def signature(s: np.ndarray, size: int) -> bytes:
-    """The low 16 bits of ``size`` minima."""
+def _hashers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and terms of ``size`` hash functions of 32 bits."""
     rng = np.random.default_rng(17)
-    a, b = rng.integers(0, 2**32, size, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, size, dtype=np.uint32)
-    return _signature(s, a, b)
+    return rng.integers(0, 2**32, size, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, size, dtype=np.uint32)
 
 
 def _signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+    """The low 16 bits of the minimum by each hash function."""
     x = (s >> np.uint64(32)).astype(np.uint32)
     low = np.full(len(a), 2**32 - 1, np.uint32)
     for i in range(0, len(x), 1024):
@@ -234,9 +234,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def signed(batches):
-        rng = np.random.default_rng(17)
-        a, b = rng.integers(0, 2**32, size, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, size, dtype=np.uint32)
-        words = _Words()
+        (a, b), words = _hashers(size), _Words()
         for batch, texts in text_batches(batches):
             sets = [shingles(t, n, words) for t in texts]
             keys = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
