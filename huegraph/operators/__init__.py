@@ -1 +1 @@
-"""operators of the engine."""
+"""Operators on edge lists: collisions, linear algebra, tiling, sectioning."""

@@ -40,8 +40,8 @@ def _report(counts: DataFrame, name: str, ks: Iterable[int], ws: Iterable[int])
 
 
 def _filled(found: DataFrame, ks: Iterable[int], ws: Iterable[int]) -> DataFrame:
-    cells = F.broadcast(_cells(found, ks, ws))  # at most a few hundred literals
-    return cells.join(found, ["k", "w"], "left").select("k", "w", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("max", F.lit(0)).cast("long").alias("max"))
+    # a row for each cell at most, so the right side may be broadcast
+    return _cells(found, ks, ws).join(F.broadcast(found), ["k", "w"], "left").select("k", "w", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("max", F.lit(0)).cast("long").alias("max"))
 
 
 def d1_nonzero(edges: DataFrame, ks: Iterable[int] = KS, ws: Iterable[int] = WS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .tiling import equal_parts
+from .linalg import prefix_sum
 
 #: Weights of edges for a cut: inside a layer, to a fixed neighbour layer, to others (fixed values).
 WEIGHT_LAYER, WEIGHT_FIXED, WEIGHT_OTHER = 2, 2, 1
@@ -23,12 +23,11 @@ def _capacity(nodes: int, tiles: int) -> int:
 
 
 def _in_parts(nodes: DataFrame, count: int, tiles: int) -> DataFrame:
-    """``(id, tile)``: consecutive ids in equal shares. The rank of an id is found by blocks."""
-    from .linalg import prefix_sum
-
-    ranked = prefix_sum(nodes.select("id", F.lit(1).alias("__one")), "__one", "rank")
-    parts = F.broadcast(equal_parts(nodes.sparkSession, count, tiles))  # one row a tile
-    return ranked.join(parts, (F.col("rank") - 1 >= F.col("lo")) & (F.col("rank") - 1 < F.col("hi"))).select("id", F.col("part").alias("tile"))
+    """``(id, tile)``: consecutive ids in equal shares, from the rank of each id."""
+    low, more = divmod(count, tiles)
+    ranked = prefix_sum(nodes.select("id", F.lit(1).alias("one")), "one", "rank")
+    tile = F.when(F.col("rank") <= more * (low + 1), F.expr(f"(rank - 1) div {low + 1}")).otherwise(F.expr(f"{more} + (rank - 1 - {more * (low + 1)}) div {max(1, low)}"))
+    return ranked.select("id", tile.cast("long").alias("tile"))
 
 
 def balanced_partition(edges: DataFrame, nodes: DataFrame, tiles: int, rounds: int = 3, slack: float = 0.03) -> DataFrame:

@@ -45,8 +45,8 @@ def greedy_tiles(edges: DataFrame, nodes: DataFrame, variant: str = "d1", budget
     """``(tile, lo, hi)``: as many consecutive rows as fit the budget, tile after tile; the last tile ends at the last row.
 
     ``variant`` names a cost of ``TILE_COSTS``; ``cost`` is one of your own, linear in entries and pairs of rows. A row that alone exceeds the
-    budget raises. Where a tile ends depends on all tiles before it, so one task reads the sorted degrees as
-    a stream and keeps two numbers; the sort in front of it is distributed.
+    budget raises. Where a tile ends depends on all tiles before it, so one task reads the degrees (a number for each vertex, not the
+    edges), one range of ids after the other, as a stream, and keeps two numbers.
     """
     if cost is None and variant not in TILE_COSTS:
         raise ValueError(f"unknown variant: {variant}")

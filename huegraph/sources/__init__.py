@@ -1 +1 @@
-"""sources of the engine."""
+"""Matrix Market text, graphs from tables, generated graphs."""

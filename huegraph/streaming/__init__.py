@@ -1 +1 @@
-"""streaming of the engine."""
+"""Empty: the data model has no streams; every report is a batch over a whole graph."""
