@@ -253,7 +253,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     pivots = sig.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig"))
 
     # 3: members against the node's pivot, then what doesn't match against all members
-    paired = members.join(sig, "rep").join(pivots, "pivot")
+    paired = members.join(sig, "rep").join(pivots, "pivot").select("rep", "pivot", "node", "c", "sig", "pivot_sig")
     matched = materialize(paired.mapInArrow(lambda it: _pivot_match(it, least), "rep long, pivot long, node long, c long, sig binary, matched boolean"), "members")
     near = matched.filter("matched AND rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     stray = matched.filter("NOT matched AND c > 2")

@@ -62,6 +62,21 @@ def test_equals_brute_force(spark, sizes):
     assert got == brute(rows)
 
 
+def test_pairs_that_do_not_match_their_pivot(spark):
+    """One tree and one minimum: documents that share a passage share a node, where the pivot is like none of them."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(25):
+        own = [word() for _ in range(30)] + passage
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, word()]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sizes in ({}, {"block": 4}):
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join(df, trees=1, depth=64, recall=0.79, **sizes).collect()}
+        assert sum(got[2 * i + 1] == (2 * i, 1) for i in range(25)) >= 23
+
+
 def test_empty_table(spark):
     assert ngram_join(spark.createDataFrame([], SCHEMA)).collect() == []
 
