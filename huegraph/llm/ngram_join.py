@@ -273,10 +273,13 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     # 4: exact links within the families
     known = families.join(reps.select("rep", "copies", "n", "k1", "k2"), families.id == reps.rep).select("rep", F.col("root").alias("family"), "copies", "n", "k1", "k2")
     known = materialize(known, "families")
-    sizes = known.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_size)).cast("int").alias("blocks"))
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_size)).cast("int")
+    sizes = materialize(known.groupBy("family").agg(count.alias("blocks")), "sizes")
+    # blocks are dealt before the texts come: a large family is split as a skewed join, or its size is broadcast where all are few
+    dealt = materialize(known.join(sizes, "family").withColumn("block", spread(F.col("blocks"), 3)), "dealt")
     # the same plan at every size: texts are shuffled by id, and a Bloom filter of the members' ids (its size is fixed by
     # Spark's settings) keeps those of all other documents out of the shuffle
-    texts = known.filter("copies >= 1").join(source.withColumnRenamed("id", "rep"), "rep").join(sizes, "family").withColumn("block", spread(F.col("blocks"), 3))
+    texts = dealt.filter("copies >= 1").join(source.withColumnRenamed("id", "rep"), "rep")
     texts = texts.withColumn("other", every(F.col("blocks"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     cut = ["family", "i", "j"]
     texts = texts.select(*cut, "block", "rep", "copies", "k1", "k2", "text").repartition(*cut).sortWithinPartitions(*cut)
