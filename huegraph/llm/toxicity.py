@@ -49,6 +49,7 @@ class CharModel:
         uni = (c.sum((0, 1)) + 1) / (c.sum() + self.k)
         bi = (c.sum(0) + 5 * uni[None]) / (c.sum(0).sum(1, keepdims=True) + 5)
         self.log = np.log((c + 5 * bi[None]) / (two[:, :, None] + 5))
+        self._rows: list | None = None
 
     @staticmethod
     def index() -> np.ndarray:
@@ -60,6 +61,15 @@ class CharModel:
     def classes(self, text: str) -> np.ndarray:
         return self.table[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
 
+    def rows(self) -> list:
+        """``log`` as nested lists, which are faster to look up one by one. Not pickled."""
+        if self._rows is None:
+            self._rows = self.log.tolist()
+        return self._rows
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_rows": None}
+
     def of(self, char: str) -> int:
         return int(self.table[ord(char)]) if ord(char) < 256 else 0
 
@@ -100,34 +110,38 @@ def lattice(token: str) -> list[tuple[list[tuple[str, float]], bool]]:
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The likeliest reading of ``token``: Viterbi over states of the last two characters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest reading of ``token``, of any length: Viterbi over states of the last two characters, which link back to
+    the characters before them, so that time and memory are linear."""
+    log = model.rows()
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for readings, spaced in lattice(token):
         if spaced:  # the space stays, or goes at a cost
-            wide: dict[tuple[int, int], tuple[float, str]] = {}
+            wide: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (p, s) in states.items():
-                for key, made in (((a, b), (p + COST_JOIN, s)), ((b, 0), (p + COST_BREAK + model.log[a, b, 0], s + " "))):
-                    if key not in wide or made > wide[key]:
-                        wide[key] = made
+                for key, q, blank in (((a, b), p + COST_JOIN, False), ((b, 0), p + COST_BREAK + log[a][b][0], True)):
+                    if key not in wide or q > wide[key][0]:
+                        wide[key] = q, (s, " ") if blank else s
             states = wide
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        known = [(ch, model.of(ch) if ch else 0, cost) for ch, cost in readings]
         for (a, b), (p, s) in states.items():
-            for ch, cost in readings:
-                if ch:
-                    c = model.of(ch)
-                    key, made = (b, c), (p + cost + model.log[a, b, c], s + ch)
-                else:
-                    key, made = (a, b), (p + cost, s)
-                if key not in new or made > new[key]:
-                    new[key] = made
+            row = log[a][b]
+            for ch, c, cost in known:
+                key, q = ((b, c), p + cost + row[c]) if ch else ((a, b), p + cost)
+                if key not in new or q > new[key][0]:
+                    new[key] = q, (s, ch) if ch else s
         states = new
-    return max((p + model.log[a, b, 0], s) for (a, b), (p, s) in states.items())[1]
+    at, out = max(((p + log[a][b][0], s) for (a, b), (p, s) in states.items()), key=lambda x: x[0])[1], []
+    while at:
+        at, ch = at
+        out.append(ch)
+    return "".join(reversed(out))
 
 
 def noisy(core: str) -> bool:
     """Whether a token without outer punctuation has a sign of leetspeak beside its letters, a letter three times in
-    a row, or spaces: else its lattice is one path. Longer than 80 characters: no obfuscated word."""
-    if len(core) > 80 or not any(c.isalpha() for c in core):
+    a row, or spaces: else its lattice is one path."""
+    if not any(c.isalpha() for c in core):
         return False
     return " " in core or bool(_SIGN.search(core) or _RUN.search(core))
 

@@ -104,6 +104,22 @@ def test_restoration(spark):
     assert toxicity.score_toxicity(df.limit(0), model).collect() == []
 
 
+def test_long_runs_are_restored(spark):
+    df = spark.createDataFrame([(i, "what an idiot and a moron you are") for i in range(50)], "doc_id long, text string")
+    chars = toxicity.CharModel(toxicity.count_trigrams(df))
+    sentence = "what an idiot and a moron you are " * 4
+    spaced = " ".join(sentence.replace(" ", ""))
+    glued = "_".join(["what", "an", "1d1ot", "you", "are"] * 6)
+    assert len(spaced) > 80 and len(glued) > 80
+    assert "idiot" in toxicity.token_words(spaced, chars) and "moron" in toxicity.token_words(spaced, chars)
+    assert "idiot" in toxicity.token_words(glued, chars)
+    model = toxicity.ToxicModel(chars, {"idiot.": 5.0}, -4.0)
+    got = toxicity.score_toxicity(spark.createDataFrame([(0, spaced), (1, glued)], "doc_id long, text string"), model).collect()
+    assert [r.toxic_hits for r in got] == [["idiot."], ["idiot."]]
+    # linear in time and memory, and the end counts as the start does
+    assert toxicity.restore("x1" * 200_000 + "_1d1ot", chars).endswith("_idiot")
+
+
 def test_trigrams_equal_a_count(spark):
     df = spark.createDataFrame([(1, "abab"), (2, None), (3, "AB.")], "doc_id long, text string").coalesce(1)
     m = toxicity.CharModel()
