@@ -3,7 +3,8 @@
 A character language model (trigrams of all texts of the table) is the source; leetspeak, spacing and
 repetition are the channel. A token or a spaced-out run that can be noisy spans a lattice: a digit or sign may
 be itself or a letter, a run of one letter may be shorter, a space between single characters may be none. Viterbi
-decoding takes the likeliest path. A token whose lattice is one path is its own restoration.
+decoding takes the likeliest path. A token whose lattice is one path is its own restoration. Signs at the ends of a token are
+punctuation, and where they can be letters they are read as such too.
 
 Restored words and their beginnings are the features of a small additive model, fitted to labelled
 documents: those that occur in toxic documents which are no copies of each other, and hardly in others.
@@ -32,9 +33,11 @@ COST_LEET, COST_SIGN, COST_DROP, COST_JOIN, COST_BREAK = -1.5, -2.0, -0.7, -0.1,
 
 _WORD = re.compile(r"[^\W\d_]+")
 _OUTER = ".,;:!?\"'()[]{}<>*#%&|-_=/\\~^`«»“”‘’…"
-_RUN = re.compile(r"(.)\1\1")
+#: Outer signs that may be letters, next to the rest of the token.
+_HEAD, _TAIL = re.compile(r"[!|( ]+$"), re.compile(r"^[!|( ]+")
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
-_SIGN = re.compile(r"[0-9@$!|+(€]")
+#: What gives a lattice a second path: a sign of leetspeak, a letter twice in a row, a space.
+_NOISE = re.compile("[" + re.escape("".join(LEET)) + r" ]|([^\W\d_])\1")
 
 
 class CharModel:
@@ -93,15 +96,16 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def lattice(token: str) -> list[tuple[list[tuple[str, float]], bool]]:
+def lattice(token: str, letters: tuple[int, ...] = ()) -> list[tuple[list[tuple[str, float]], bool]]:
     """For each character of a lower-case token or spaced run: readings with their cost, and whether a space before it
-    may be left out. A reading may be empty (a letter of a run that goes)."""
+    may be left out. A reading may be empty (a letter of a run that goes). The signs at the places ``letters`` are no signs."""
     out, spaced, before = [], False, ""
-    for ch in token:
+    for at, ch in enumerate(token):
         if ch == " ":
             spaced = True
             continue
-        readings = [(ch, COST_SIGN if ch in LEET else 0.0)] + [(x, COST_LEET) for x in LEET.get(ch, "")]
+        own = [] if at in letters else [(ch, COST_SIGN if ch in LEET else 0.0)]
+        readings = own + [(x, COST_LEET) for x in LEET.get(ch, "")]
         if ch == before and not spaced and ch.isalpha():
             readings.append(("", COST_DROP))  # of a run, all but one may go
         out.append((readings, spaced))
@@ -109,12 +113,12 @@ def lattice(token: str) -> list[tuple[list[tuple[str, float]], bool]]:
     return out
 
 
-def restore(token: str, model: CharModel) -> str:
+def restore(token: str, model: CharModel, letters: tuple[int, ...] = ()) -> str:
     """The likeliest reading of ``token``, of any length: Viterbi over states of the last two characters, which link back to
     the characters before them, so that time and memory are linear."""
     log = model.rows()
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for readings, spaced in lattice(token):
+    for readings, spaced in lattice(token, letters):
         if spaced:  # the space stays, or goes at a cost
             wide: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (p, s) in states.items():
@@ -139,28 +143,40 @@ def restore(token: str, model: CharModel) -> str:
 
 
 def noisy(core: str) -> bool:
-    """Whether a token without outer punctuation has a sign of leetspeak beside its letters, a letter three times in
-    a row, or spaces: else its lattice is one path."""
-    if not any(c.isalpha() for c in core):
-        return False
-    return " " in core or bool(_SIGN.search(core) or _RUN.search(core))
+    """Whether a lower-case token or spaced run has a sign of leetspeak, a letter twice in a row, or spaces: else its lattice is one path."""
+    return bool(_NOISE.search(core))
+
+
+def readings_of(token: str) -> list[tuple[str, tuple[int, ...]]]:
+    """A lower-case token without the signs at its ends, and with those that are next to the rest and may be letters: at one
+    end, at the other, at both. With each the places of the signs that must be letters; those further out may be."""
+    core = token.strip(_OUTER + " ")
+    if not core:
+        return [(token, ())]
+    at = token.index(core)
+    head, tail = _HEAD.search(token[:at]), _TAIL.search(token[at + len(core) :])
+    out = []
+    for h in ("", head.group().lstrip() if head else ""):
+        for t in ("", tail.group().rstrip() if tail else ""):
+            letters = ([len(h.rstrip()) - 1] if h else []) + ([len(h) + len(core) + len(t) - len(t.lstrip())] if t else [])
+            out.append((h + core + t, tuple(letters)))
+    return list(dict.fromkeys(out))
 
 
 def token_words(token: str, model: CharModel) -> list[str]:
-    """The words of a token as it stands, and those of its restoration."""
-    core = token.strip(_OUTER).lower()
-    if core.isalpha():
-        if not _RUN.search(core):
-            return [core]
-        words = [core]
-    else:
-        words = _WORD.findall(core)
-    if noisy(core):
-        plain = restore(core, model)
-        words += _WORD.findall(plain)
-        if " " in plain:  # a spaced-out run is also read as one word
-            words += _WORD.findall(plain.replace(" ", ""))
-    return words
+    """The words of a token as it stands, and those of its restorations."""
+    token = token.lower()
+    core = token.strip(_OUTER)
+    if core.isalpha() and len(core) == len(token) and not noisy(core):
+        return [core]
+    words = [core] if core.isalpha() else _WORD.findall(core)
+    for reading, letters in readings_of(token):
+        if noisy(reading):
+            plain = restore(reading, model, letters)
+            words += _WORD.findall(plain)
+            if " " in plain:  # a spaced-out run is also read as one word
+                words += _WORD.findall(plain.replace(" ", ""))
+    return list(dict.fromkeys(words))
 
 
 def text_tokens(text: str) -> list[str]:
@@ -232,8 +248,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), part.alias("t")).filter("t IS NOT NULL").join(chosen, "doc_id").select("doc_id", "t", "y").collect()
     chars = CharModel(count_trigrams(docs, text))
     words: dict[int, list[set[str]]] = {0: [], 1: []}
+    known: dict[str, list[str]] = {}  # the tokens of a bounded sample
     for r in sorted({(r.doc_id, r.t, r.y) for r in rows}):
-        words[r[2]].append({w for token in set(text_tokens(r[1])) for w in token_words(token, chars)})
+        own = set(text_tokens(r[1]))
+        known |= {token: token_words(token, chars) for token in own if token not in known}
+        words[r[2]].append({w for token in own for w in known[token]})
     toxic = [{f for w in bag for f in word_features(w)} for bag in distinct_bags(words[1])]
     least = least_support(len(toxic), words[0])
     usable = {f for f, n in Counter(f for d in toxic for f in d).items() if n >= least}

@@ -120,6 +120,23 @@ def test_long_runs_are_restored(spark):
     assert toxicity.restore("x1" * 200_000 + "_1d1ot", chars).endswith("_idiot")
 
 
+def test_every_token_with_a_second_reading_is_restored(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    chars = toxicity.CharModel(toxicity.count_trigrams(docs))
+    for token, word in {"stuupid": "stupid", "mmoorroonn": "moron", "iiddiioott": "idiot", "!diot": "idiot", '"!diot!!"': "idiot", "!!diot": "idiot", "|oser": "loser", "(lown,": "clown", "evi|": "evil", "! d i o t": "idiot"}.items():
+        assert word in toxicity.token_words(token, chars), token
+    # punctuation stays punctuation beside it
+    for token in ("idiot!", "(idiot", "|idiot|", "!idiot!!!"):
+        assert "idiot" in toxicity.token_words(token, chars), token
+    for token in ("", "!", "(!|", "1337", "..", "a", "l|!(", "word"):
+        assert len(toxicity.lattice(token)) == len(token)
+        paths = 1
+        for readings, _ in toxicity.lattice(token):
+            paths *= len(readings)
+        assert toxicity.noisy(token) == (paths > 1), token
+    assert toxicity.token_words("word", chars) == ["word"] and toxicity.token_words("...", chars) == []
+
+
 def test_trigrams_equal_a_count(spark):
     df = spark.createDataFrame([(1, "abab"), (2, None), (3, "AB.")], "doc_id long, text string").coalesce(1)
     m = toxicity.CharModel()
