@@ -1,13 +1,12 @@
 """Personal data: exact base patterns, and a character-level bidirectional LSTM with CRF transitions on top.
 
 The network is trained in numpy from labelled spans: places of the corpus labelled by the base patterns, and
-made-up numbers and addresses, also in spellings that the patterns miss, set into sentences of the corpus. It reads overlapping windows around
-every place that could hold personal data (a digit, an at sign, or a bracketed "at": every kind has one of these).
-Each window is decoded by itself; the spans of all windows of a text are reconciled globally: those
-cut by a window's border go, and of those that overlap the set of greatest total score stays.
+made-up numbers and addresses, also in spellings that the patterns miss, set into sentences of the corpus. It reads overlapping windows
+over the whole of every text. Each window is decoded by itself; the spans of all windows of a text are reconciled globally: those
+cut by a window's border are joined with what the overlapping windows see of them, and of those that overlap the set of greatest total score stays.
 
 Base spans always stay. The network adds spans that overlap none of them, score ``least`` at least, and pass the
-same exact checks (number of digits, check sum, parts up to 255).
+same exact checks (number of digits, check sum, parts up to 255; of an address the at, the dot and what is between them).
 """
 
 from __future__ import annotations
@@ -15,8 +14,10 @@ from __future__ import annotations
 import pickle
 import random
 import re
+import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,9 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE = 96, 48
 EMBED, HIDDEN = 12, 20
+#: Windows decoded at once: few enough that the linear algebra library does not start threads of its own in every worker.
+BATCH = 160
+#: Texts and windows with a match are those that training mainly learns from.
 TRIGGER = r"[0-9@]|[\[(] ?[aA][tT] ?[\])]"
 
 _TRIGGER = re.compile(TRIGGER)
@@ -40,6 +44,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
+#: What an address has in any spelling: a name, "at" as a sign or word, a host, a dot as a sign or word, and its last part.
+_ADDRESS = [re.compile(p, re.I) for p in (r"\w", r"[@\uff20\ufe6b]|(?<![^\W_])at(?![^\W_])|[\[({<] ?a ?[\])}>]", r"\w", r"[.\uff0e\u3002]|(?<![^\W_])dot(?![^\W_])", r"\w")]
+
 Span = tuple[int, int, str]
 
 
@@ -52,20 +59,34 @@ def luhn(digits: str) -> bool:
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    """The digits of any script, as ASCII."""
+    return "".join(str(unicodedata.digit(c)) for c in s if c.isdigit())
 
 
 def _parts_fit(s: str) -> bool:
-    parts = [p.lstrip("0") for p in s.split(".")]
-    return len(parts) == 4 and all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
+    parts = s.split(".")
+    if len(parts) != 4 or not all(p.isdigit() for p in parts):
+        return False
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (_digits(p).lstrip("0") for p in parts))
+
+
+def _address(s: str) -> bool:
+    """The parts of an address, one behind the other: the first match of each is enough, which is linear."""
+    end = 0
+    for part in _ADDRESS:
+        m = part.search(s, end)
+        if not m:
+            return False
+        end = m.end()
+    return True
 
 
 def valid(kind: str, s: str) -> bool:
     if kind == "email":
-        return True
+        return _address(s)
     if kind == "ip":
         return _parts_fit(s)
-    n = sum("0" <= c <= "9" for c in s)
+    n = sum(c.isdigit() for c in s)
     return 14 <= n <= 19 and luhn(_digits(s)) if kind == "card" else 10 <= n <= 15
 
 
@@ -101,12 +122,18 @@ def written(spans: list[Span]) -> str:
 _CHARS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0@.-+()[] _%\n\t,:;/\"'=#*", 3)}
 
 
-def char_classes(text: str) -> np.ndarray:
+def char_classes(text: Iterable[str]) -> np.ndarray:
     """Class of each character: letters without case, all digits one, some signs, other letters (1), the rest (2);
     0 is padding."""
     return np.array([_CHARS.get("0" if c.isdigit() else c.lower(), 1 if c.isalpha() else 2) for c in text], np.int64)
 
 
+@cache
+def _class_table() -> np.ndarray:
+    """``char_classes`` of every code point."""
+    return char_classes(map(chr, range(0x110000))).astype(np.int8)
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis, keepdims=True)
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
@@ -225,7 +252,47 @@ class BiLstmCrf:
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags of every window and the probability of each of them."""
-        em, _ = self.emissions(x)
+        return self.decode_scores(self.emissions(x)[0])
+
+    def quick_emissions(self, x: np.ndarray) -> np.ndarray:
+        """``emissions`` for inference, both directions at once: sigmoids by hyperbolic tangents, inputs by a table of classes."""
+        p, h = self.p, self.h
+        n, steps = x.shape
+        half = np.r_[np.full(3 * h, 0.5), np.ones(h)].astype(self.dtype)
+        table = np.stack([(p["embed"] @ p[f"x{d}"] + p[f"b{d}"]) * half for d in "fb"])
+        weight = np.stack([p[f"h{d}"] * half for d in "fb"])
+        state, cell, em = np.zeros((2, n, h), self.dtype), np.zeros((2, n, h), self.dtype), np.empty((steps, n, TAGS), self.dtype)
+        em[:] = p["out_b"]
+        out = np.stack([p["out"][:h], p["out"][h:]])
+        x = np.ascontiguousarray(x.T)
+        for t in range(steps):
+            g = state @ weight
+            g[0] += table[0].take(x[t], 0)
+            g[1] += table[1].take(x[steps - 1 - t], 0)
+            np.tanh(g, out=g)
+            ifo = g[:, :, : 3 * h]
+            ifo *= 0.5
+            ifo += 0.5
+            cell *= ifo[:, :, h : 2 * h]
+            cell += ifo[:, :, :h] * g[:, :, 3 * h :]
+            state = ifo[:, :, 2 * h :] * np.tanh(cell)
+            both = state @ out
+            em[t] += both[0]
+            em[steps - 1 - t] += both[1]
+        return em.transpose(1, 0, 2)
+
+    def may_hold(self, em: np.ndarray) -> np.ndarray:
+        """Whether the best path of a window has any span: the greatest score of all paths against that of the path without."""
+        em = np.ascontiguousarray(em.transpose(1, 2, 0))
+        trans = (self.p["next"] + self.banned)[:, :, None]
+        best = em[0] + (self.p["first"] + self.banned_first)[:, None]
+        bare = best[0].copy()
+        for e in em[1:]:
+            best = e + (best[:, None] + trans).max(0)
+            bare = e[0] + (bare + trans[0, 0])
+        return best.max(0) > bare
+
+    def decode_scores(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         _, prob, _ = self.marginals(em)
         n, steps, _ = em.shape
         trans = self.p["next"] + self.banned
@@ -241,10 +308,18 @@ class BiLstmCrf:
         return tags, np.take_along_axis(prob, tags[:, :, None], 2)[:, :, 0]
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a trigger; each trigger is in two of them, so that one has room around it."""
-    at = {m.start() // STRIDE for m in _TRIGGER.finditer(text)}
-    return sorted({max(0, k) * STRIDE for p in at for k in (p - 1, p)})
+def window_starts(text: str) -> range:
+    """Starts of the windows over the whole text; all of it but the ends is in two of them."""
+    return range(0, max(1, len(text) - STRIDE), STRIDE)
+
+
+def text_windows(text: str) -> np.ndarray:
+    """The classes of all windows of a text."""
+    c = _class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    n = len(window_starts(text))
+    flat = np.zeros((n - 1) * STRIDE + WINDOW, np.int8)
+    flat[: len(c)] = c
+    return np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[::STRIDE]
 
 
 def _window(text: str, start: int) -> np.ndarray:
@@ -266,6 +341,29 @@ def tag_spans(tags: np.ndarray, prob: np.ndarray) -> list[tuple[int, int, str, f
     return out
 
 
+def joined(found: list[tuple[int, int, str, float, bool, bool]]) -> list[tuple[int, int, str, float]]:
+    """Spans of all windows, with the score and whether the window's border cuts them at the left and the right. Pieces of a kind
+    that a border cuts are joined with those that overlap them, into spans of any length. An end at a border that no
+    overlapping window carries on is outvoted: that window sees both sides of the border."""
+    out = [x[:4] for x in found if not (x[4] or x[5])]
+    for kind in KINDS:
+        run: list = []  # start, end, cut at the left, cut at the right, sum of scores, weight, pieces
+        for a, b, k, score, left, right in [*sorted(x for x in found if x[2] == kind), (0, 0, "", 0.0, False, False)]:
+            if run and k == kind and a < run[1] and (run[3] or left):
+                if a == run[0]:
+                    run[2] = run[2] and left
+                if b == run[1]:
+                    run[3] = run[3] and right
+                elif b > run[1]:
+                    run[1], run[3] = b, right
+                run[4], run[5], run[6] = run[4] + score * (b - a), run[5] + b - a, run[6] + 1
+                continue
+            if run and run[6] > 1 and not (run[2] or run[3]):
+                out.append((run[0], run[1], kind, run[4] / run[5]))
+            run = [a, b, left, right, score * (b - a), b - a, 1]
+    return out
+
+
 def reconcile(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
     """Of overlapping spans of all windows those of the greatest total score (weighted interval scheduling)."""
     unique: dict[Span, float] = {}
@@ -293,13 +391,20 @@ def reconcile(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
 # labelled spans for training ------------------------------------------------------------------------------------
 
 
-def _made_up(rng: random.Random) -> tuple[str, str]:
+def _name(rng: random.Random, words: list[str]) -> str:
+    """A word of the corpus, or letters at random."""
+    if words and rng.random() < 0.6:
+        return rng.choice(words)
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+
+
+def _made_up(rng: random.Random, words: list[str]) -> tuple[str, str]:
     """A kind and a made-up instance, in spellings that the base patterns find or miss."""
     num = lambda a, b: str(rng.randint(a, b))
-    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    name = lambda: _name(rng, words)
     kind = rng.choice(KINDS)
     if kind == "email":
-        at, dot = rng.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", ".")])
+        at, dot = rng.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), (" at ", " dot "), (" at ", " dot "), (" {at} ", "."), (" <at> ", "."), ("{at}", "{dot}"), ("<at>", " <dot> ")])
         host = dot.join([name() + rng.choice(["", num(1, 9)])] + [name() for _ in range(rng.randint(0, 1))] + [rng.choice(["com", "org", "net", "de", "fr"])])
         return kind, name() + rng.choice(["", "." + num(1, 99), "_" + name()]) + at + host
     if kind == "ip":
@@ -315,10 +420,11 @@ def _made_up(rng: random.Random) -> tuple[str, str]:
     return kind, rng.choice([f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+{num(20, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"001 {a} {b} {c}"])
 
 
-def _decoy(rng: random.Random) -> str:
+def _decoy(rng: random.Random, words: list[str]) -> str:
     """Digits that are no personal data."""
     hexa = "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(8, 40)))
-    return rng.choice([f'token = "{hexa}"', f"password={hexa}", "AKIA" + "".join(rng.choice("ABCDEFGHIJ234567KLMNOP") for _ in range(16)), f"version {rng.randint(1, 9)}.{rng.randint(0, 9)}", f"CC BY-NC {rng.randint(1, 4)}.0", str(rng.randint(0, 99999)), f"{rng.randint(1900, 2099)}-{rng.randint(1, 12)}-{rng.randint(1, 28)}", f"#{rng.randint(1, 999)}", hexa])
+    name = lambda: _name(rng, words)
+    return rng.choice([f"{name()} at {name()} {name()}", f"{name()} {name()} at {name()}.", f'token = "{hexa}"', f"password={hexa}", "AKIA" + "".join(rng.choice("ABCDEFGHIJ234567KLMNOP") for _ in range(16)), f"version {rng.randint(1, 9)}.{rng.randint(0, 9)}", f"CC BY-NC {rng.randint(1, 4)}.0", str(rng.randint(0, 99999)), f"{rng.randint(1900, 2099)}-{rng.randint(1, 12)}-{rng.randint(1, 28)}", f"#{rng.randint(1, 999)}", hexa])
 
 
 def _tags(length: int, spans: list[Span]) -> np.ndarray:
@@ -335,13 +441,16 @@ def training_windows(texts: list[str], made_up: int, seed: int = 5) -> tuple[np.
     rng, xs, ys = random.Random(seed), [], []
     for text in texts:
         spans = base_spans(text)
-        for s in window_starts(text):
+        for i, s in enumerate(window_starts(text)):
+            if i % 8 and not _TRIGGER.search(text, s, s + WINDOW):  # an eighth of the windows without anything
+                continue
             own = [(a - s, b - s, k) for a, b, k in spans if a >= s and b <= s + WINDOW]
             cut = any(a < s + WINDOW and b > s and not (a >= s and b <= s + WINDOW) for a, b, _ in spans)
             if not cut:
                 xs.append(_window(text, s))
                 ys.append(_tags(WINDOW, own))
     carriers = texts or ["lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"]
+    words = sorted({w for t in carriers for w in t.lower().split() if w.isalpha() and len(w) < 12})
     for _ in range(made_up):
         text = rng.choice(carriers)
         at = rng.randrange(max(1, len(text) - WINDOW))
@@ -350,10 +459,10 @@ def training_windows(texts: list[str], made_up: int, seed: int = 5) -> tuple[np.
         head = line[:put].rpartition(" ")[0]
         head = head + " " if head else ""
         if rng.random() < 0.65:
-            kind, what = _made_up(rng)
+            kind, what = _made_up(rng, words)
             spans = [(len(head), len(head) + len(what), kind)]
         else:
-            what, spans = _decoy(rng), []
+            what, spans = _decoy(rng, words), []
         whole = (head + what + rng.choice([" ", ". ", ", ", "\n"]) + line[put:])[:WINDOW]
         if all(b <= len(whole) for _, b, _ in spans):
             xs.append(_window(whole, 0))
@@ -367,25 +476,46 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_ro
     every = docs.select(F.col(doc_id).alias("doc_id"), F.substring(F.col(text), 1, sample_chars).alias("t"))
     part = bounded_sample(every.filter(F.col("t").rlike(TRIGGER)), "doc_id", sample_rows, over=16, of=every)
     texts = sorted(r.t for r in part.collect())
-    return BiLstmCrf().fit(*training_windows(texts, made_up))
+    return BiLstmCrf().fit(*training_windows(texts, made_up), epochs=12)
 
 
 def added_spans(texts: list[str], bases: list[list[Span]], model: BiLstmCrf, least: float) -> list[list[Span]]:
     """What the network adds to the base spans of each text."""
-    where = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-    for k in range(0, len(where), 256):
-        part = where[k : k + 256]
-        tags, prob = model.decode(np.stack([_window(texts[i], s) for i, s in part]))
-        for (i, s), y, p in zip(part, tags, prob, strict=True):
-            n = len(texts[i])
-            for a, b, kind, score in tag_spans(y, p) if y.any() else []:
-                whole = (a > 0 or s == 0) and (b < WINDOW or s + b >= n)
-                if whole and s + b <= n:
-                    found[i].append((s + a, s + b, kind, score))
+    found: list[list[tuple[int, int, str, float, bool, bool]]] = [[] for _ in texts]
+    held, owner, starts = [], [], []
+
+    def run() -> None:
+        x, at, scores = np.concatenate(held), [], []
+        for k in range(0, len(x), BATCH):
+            em = model.quick_emissions(x[k : k + BATCH])
+            own = np.flatnonzero(model.may_hold(em))
+            at.append(own + k)
+            scores.append(em[own])
+        where, em = np.concatenate(at), np.concatenate(scores)  # the few windows with spans are decoded together
+        for k in range(0, len(where), 1024):
+            tags, prob = model.decode_scores(em[k : k + 1024])
+            for j, y, p in zip(where[k : k + 1024], tags, prob, strict=True):
+                i, s = owner[j], starts[j]
+                n = len(texts[i])
+                for a, b, kind, score in tag_spans(y, p) if y.any() else []:
+                    if s + a < n:
+                        b = min(b, n - s)
+                        found[i].append((s + a, s + b, kind, score, a == 0 and s > 0, b == WINDOW and s + b < n))
+        held.clear(), owner.clear(), starts.clear()
+
+    for i, t in enumerate(texts):
+        if t:
+            held.append(text_windows(t))
+            own_starts = window_starts(t)
+            starts += own_starts
+            owner += [i] * len(own_starts)
+            if len(owner) >= 16_384:
+                run()
+    if held:
+        run()
     out = []
     for text, base, own in zip(texts, bases, found, strict=True):
-        free = [x for x in own if x[3] >= least and valid(x[2], text[x[0] : x[1]]) and not any(x[0] < b and a < x[1] for a, b, _ in base)]
+        free = [x for x in joined(own) if x[3] >= least and valid(x[2], text[x[0] : x[1]]) and not any(x[0] < b and a < x[1] for a, b, _ in base)]
         out.append([(a, b, k) for a, b, k, _ in reconcile(free)])
     return out
 
@@ -394,8 +524,7 @@ def find_pii(docs: DataFrame, model: BiLstmCrf, text: str = "text", least: float
     """Append ``base`` and ``added``: arrays of (kind, start, end) with code points, end exclusive, by start, then kind.
 
     Null and empty texts have no spans. Rows and other columns stay; input columns named ``base`` or ``added`` are
-    replaced. An empty table gives an empty table. The whole text is searched; texts without a trigger do
-    not leave the JVM.
+    replaced. An empty table gives an empty table. The whole of every text is read by the network.
     """
     kept = [c for c in docs.columns if c not in ("base", "added")]
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # a few thousand numbers
@@ -411,8 +540,7 @@ def find_pii(docs: DataFrame, model: BiLstmCrf, text: str = "text", least: float
             bases = [base_spans(t) if t else [] for t in whole]
             yield with_columns(batch, ["__text"], base=rows(bases), added=rows(added_spans(whole, bases, own, least)))
 
-    held = F.when(F.col(text).rlike(TRIGGER), F.col(text))
-    return docs.select(*kept, held.alias("__text")).mapInArrow(tagged, fields(docs.select(*kept)) + "base array<struct<kind:string,start:bigint,end:bigint>>, added array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(tagged, fields(docs.select(*kept)) + "base array<struct<kind:string,start:bigint,end:bigint>>, added array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact(docs: DataFrame, model: BiLstmCrf, text: str = "text", least: float = 0.8) -> DataFrame:
@@ -423,7 +551,7 @@ def redact(docs: DataFrame, model: BiLstmCrf, text: str = "text", least: float =
     def clean(batches) -> Iterator[pa.RecordBatch]:
         own: BiLstmCrf = pickle.loads(packed.value)
         for batch, texts in text_batches(batches, name=text):
-            at = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
+            at = [i for i, t in enumerate(texts) if t]
             whole = [texts[i] for i in at]
             bases = [base_spans(t) for t in whole]
             for i, base, more in zip(at, bases, added_spans(whole, bases, own, least), strict=True):

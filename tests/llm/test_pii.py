@@ -73,6 +73,38 @@ def test_held_out_windows(model):
     assert (model.decode(x)[0] == y).all(1).mean() > 0.85
 
 
+def test_windows_cover_whole_texts(model):
+    for n in (0, 1, 48, 95, 96, 97, 143, 144, 145, 1000):
+        starts, text = list(pii.window_starts("x" * n)), ("aé7\U0001fae8٣ " * n)[:n]
+        assert {p for s in starts for p in range(s, s + pii.WINDOW)} >= set(range(n))
+        assert (pii.text_windows(text) == np.stack([pii._window(text, s) for s in starts])).all()
+    for text, shape in (("write to {} today", "jane at example dot com"), ("write to {} today", "jane {at} example.com"), ("write to {} today", "jane <at> example.com")):
+        whole = text.format(shape)
+        assert not pii._TRIGGER.search(whole)
+        assert any(k == "email" for _, _, k in pii.added_spans([whole], [[]], model, 0.8)[0]), whole
+    wide = "call " + "(274) 555-9629".translate({48 + d: 0xFF10 + d for d in range(10)}) + " now"
+    assert pii.added_spans([wide], [[]], model, 0.8)[0] == [(5, 19, "phone")]
+    assert pii.valid("ip", "１０.0.0.1") and not pii.valid("ip", "a.b.c.d") and not pii.valid("ip", "²⁵⁶.1.1.1")
+
+
+def test_quick_inference_equals_the_network(model):
+    x, _ = training_windows(["plain words of a sentence that carries things " * 5], 300, seed=7)
+    quick = model.quick_emissions(x)
+    assert np.allclose(quick, model.emissions(x)[0], atol=1e-3)
+    hold, tags = model.may_hold(quick), model.decode(x)[0]
+    assert not tags[~hold].any()
+
+
+def test_spans_cut_by_borders_are_joined():
+    whole = (60, 120, "email", 0.9, False, False)
+    assert pii.joined([(60, 96, "email", 0.9, False, True), whole]) [0] == whole[:4]
+    long = [(60, 96, "email", 0.9, False, True), (60, 144, "email", 0.9, False, True), (96, 170, "email", 0.9, True, False), (144, 170, "email", 0.9, True, False)]
+    assert [x[:3] for x in reconcile(pii.joined(long))] == [(60, 170, "email")]
+    # 60 characters that no window holds whole
+    assert [x[:3] for x in pii.joined([(90, 144, "email", 0.9, False, True), (96, 150, "email", 0.9, True, False)])] == [(90, 150, "email")]
+    assert pii.joined([(90, 144, "email", 0.9, False, True), (96, 150, "card", 0.9, True, False), (300, 310, "ip", 0.9, True, False)]) == []
+
+
 def test_operator(spark, model):
     hard = ["write to jane [at] mail [dot] example [dot] com today", "call (274) 555-9629 now", None, "mail a.b@c.example.com or 10.0.0.1"]
     texts = ODD + hard
