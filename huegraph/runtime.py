@@ -9,17 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, the warehouse
-    on a cluster and a temporary folder in local mode (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary folder in local mode (tests); on a
+    cluster that is an error, since a folder of one machine would lose data."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir") + "/_stages"
-    made = "file://" + tempfile.mkdtemp(prefix="stages-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="stages-"))
+    return _local[0]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -37,4 +40,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._stage = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the files of materialized frames that nothing reads any more."""
+    for df in frames:
+        _remove(df.sparkSession, df._stage)
