@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize as materialize
+from ..runtime import release as release
 
 #: Characters of text that one Arrow result batch holds at most (one document may exceed it).
 BATCH_CHARS = 4_000_000
@@ -56,6 +57,12 @@ def bounded_sample(df: DataFrame, key: str, rows: int, over: int = 2, of: DataFr
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
 
 
+def one_label(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """(doc_id, y): the label of each document, 0 or 1; where a document has clashing labels the least of them."""
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
+    return known.groupBy("doc_id").agg(F.min("y").alias("y"))
+
+
 def text_batches(batches, size: int = BATCH_CHARS, name: str = "text"):
     """Split Arrow batches with a column ``name`` of texts into (batch, texts) runs of bounded size."""
     for batch in batches:
@@ -113,6 +120,14 @@ def with_columns(batch: pa.RecordBatch, drop: list[str], **columns: pa.Array) ->
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *columns.values()], names=[*keep, *columns])
 
 
+def fresh_name(taken: list[str], name: str = "given_text") -> str:
+    """``name``, with more underscores behind it where a column is called so already (in any case of letters)."""
+    used = {c.lower() for c in taken}
+    while name in used:
+        name += "_"
+    return name
+
+
 def fields(df: DataFrame) -> str:
     """The columns of ``df`` as the start of a schema text."""
     return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.schema)

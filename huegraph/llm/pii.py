@@ -15,7 +15,7 @@ import pickle
 import random
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -24,15 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, bounded_sample, fields, sigmoid, text_batches, with_columns
+from .common import Adam, bounded_sample, fields, fresh_name, text_batches, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 #: O, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-WINDOW, STRIDE = 96, 48
-EMBED, HIDDEN = 12, 20
-#: Windows decoded at once: few enough that the linear algebra library does not start threads of its own in every worker.
-BATCH = 160
+#: All windows of a text but the last are of the greatest width, the last is of the least that holds it; neighbours share ``OVERLAP`` characters.
+WIDTHS, OVERLAP = (64, 128, 192, 256, 384, 512), 64
+WINDOW = WIDTHS[-1]
+STRIDE = WINDOW - OVERLAP
+#: Width of training windows, and the distance between them.
+SHORT, SHORT_STRIDE = 96, 72
+EMBED, HIDDEN = 8, 8
+#: Windows read at once, in blocks of ``LANES``: the products of a block are few enough that the linear algebra library does not start
+#: threads of its own in every worker, and of one shape, so that a window's result does not depend on its neighbours.
+BATCH, LANES = 1024, 256
+#: Characters of texts whose windows are sorted by width and read together.
+RUN = 12_000_000
 #: Texts and windows with a match are those that training mainly learns from.
 TRIGGER = r"[0-9@]|[\[(] ?[aA][tT] ?[\])]"
 
@@ -44,8 +52,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-#: What an address has in any spelling: a name, "at" as a sign or word, a host, a dot as a sign or word, and its last part.
-_ADDRESS = [re.compile(p, re.I) for p in (r"\w", r"[@\uff20\ufe6b]|(?<![^\W_])at(?![^\W_])|[\[({<] ?a ?[\])}>]", r"\w", r"[.\uff0e\u3002]|(?<![^\W_])dot(?![^\W_])", r"\w")]
+_AT, _DOT = (rf"(?:[{sign}]|[\[({{<]\s?(?:{word})\s?[\])}}>]|(?<![^\W_])(?:{word})(?![^\W_]))" for sign, word in (("@\uff20\ufe6b", "at|a|@"), (".\uff0e\u3002", "dot|[.]")))
+#: What an address has in any spelling: "at" as a sign or word right between a name and a host, then a dot as a sign or word between parts.
+_ADDRESS = [re.compile(p, re.I) for p in (rf"\w[\s_]?{_AT}[\s_]?(?=\w)", rf"\w[\s_]?{_DOT}[\s_]?\w")]
 
 Span = tuple[int, int, str]
 
@@ -134,11 +143,6 @@ def _class_table() -> np.ndarray:
     return char_classes(map(chr, range(0x110000))).astype(np.int8)
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
-
-
 class BiLstmCrf:
     """Parameters, loss with gradients, and decoding."""
 
@@ -159,89 +163,106 @@ class BiLstmCrf:
         self.p = {k: v.astype(dtype) for k, v in self.p.items()}
         self.banned, self.banned_first = self.banned.astype(dtype), self.banned_first.astype(dtype)
 
-    def _direction(self, e: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States of one direction; ``e`` comes in reading order."""
-        p, h = self.p, self.h
-        n, steps, _ = e.shape
-        pre = e @ p[f"x{d}"] + p[f"b{d}"]
-        state, cell, out, kept = np.zeros((n, h), self.dtype), np.zeros((n, h), self.dtype), np.empty((n, steps, h), self.dtype), []
+    def _weights(self) -> np.ndarray:
+        """For both directions the rows of all gates over (state, input, one); half of it for sigmoids, which are read off hyperbolic tangents."""
+        half = np.r_[np.full(3 * self.h, 0.5), np.ones(self.h)].astype(self.dtype)
+        return np.stack([(np.concatenate([self.p[f"h{d}"], self.p[f"x{d}"], self.p[f"b{d}"][None]]) * half).T for d in "fb"])
+
+    def _read(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Both directions, each in its reading order, as (direction, place, unit, window): ``rows`` has the state before a place, its input
+        and a one."""
+        p, h, d = self.p, self.h, self.dtype
+        n, steps = x.shape
+        at = np.stack([x.T, x.T[::-1]])
+        rows = np.ones((2, steps + 1, h + p["embed"].shape[1] + 1, n), d)
+        rows[:, 0, :h] = 0
+        rows[:, :-1, h:-1] = p["embed"].T.take(at, 1).transpose(1, 2, 0, 3)
+        weight, gates = self._weights(), np.empty((2, steps, 4 * h, n), d)
+        cells, bent = np.zeros((2, steps + 1, h, n), d), np.empty((2, steps, h, n), d)
         for t in range(steps):
-            g = pre[:, t] + state @ p[f"h{d}"]
-            ifo, new = sigmoid(g[:, : 3 * h]), np.tanh(g[:, 3 * h :])
-            i, f, o = ifo[:, :h], ifo[:, h : 2 * h], ifo[:, 2 * h :]
-            before, last = cell, state
-            cell = f * before + i * new
-            th = np.tanh(cell)
-            state = o * th
-            out[:, t] = state
-            kept.append((i, f, o, new, before, last, th))
-        return out, kept
-
-    def _back(self, e: np.ndarray, kept: list, dout: np.ndarray, d: str, g: dict) -> np.ndarray:
+            g = gates[:, t]
+            np.matmul(weight, rows[:, t], out=g)
+            np.tanh(g, out=g)
+            g[:, : 3 * h] += 1
+            g[:, : 3 * h] *= 0.5
+            np.multiply(g[:, h : 2 * h], cells[:, t], out=cells[:, t + 1])
+            cells[:, t + 1] += g[:, :h] * g[:, 3 * h :]
+            np.tanh(cells[:, t + 1], out=bent[:, t])
+            np.multiply(g[:, 2 * h : 3 * h], bent[:, t], out=rows[:, t + 1, :h])
+        return {"at": at, "rows": rows, "gates": gates, "cells": cells, "bent": bent}
+
+    def _back(self, kept: dict[str, np.ndarray], dout: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of both directions from those of the states."""
         p, h = self.p, self.h
-        n, steps, _ = e.shape
-        dpre = np.empty((n, steps, 4 * h), self.dtype)
-        ds, dc = np.zeros((n, h), self.dtype), np.zeros((n, h), self.dtype)
-        dh = np.zeros_like(p[f"h{d}"])
+        _, steps, _, n = dout.shape
+        i, f, o, new = (kept["gates"][:, :, k * h : (k + 1) * h] for k in range(4))
+        # what a gate's input changes: the cell through the first two and the last, the state through the third
+        change = np.concatenate([new * i * (1 - i), kept["cells"][:, :-1] * f * (1 - f), kept["bent"] * o * (1 - o), i * (1 - new * new)], 2)
+        bend = o * (1 - kept["bent"] * kept["bent"])
+        weight = np.stack([p["hf"], p["hb"]])
+        ds, dc = np.zeros((2, h, n), self.dtype), np.zeros((2, h, n), self.dtype)
         for t in reversed(range(steps)):
-            i, f, o, new, before, last, th = kept[t]
             ds = ds + dout[:, t]
-            dc = dc + ds * o * (1 - th * th)
-            row = np.concatenate([dc * new * i * (1 - i), dc * before * f * (1 - f), ds * th * o * (1 - o), dc * i * (1 - new * new)], 1)
-            dpre[:, t] = row
-            dh += last.T @ row
-            ds, dc = row @ p[f"h{d}"].T, dc * f
-        g[f"h{d}"], g[f"b{d}"] = dh, dpre.sum((0, 1))
-        g[f"x{d}"] = np.einsum("nte,ntg->eg", e, dpre)
-        return dpre @ p[f"x{d}"].T
+            dc += ds * bend[:, t]
+            row = change[:, t]
+            row[:, : 2 * h].reshape(2, 2, h, n)[:] *= dc[:, None]
+            row[:, 2 * h : 3 * h] *= ds
+            row[:, 3 * h :] *= dc
+            ds = weight @ row
+            dc *= f[:, t]
+        grown = (change @ kept["rows"][:, :-1].transpose(0, 1, 3, 2)).sum(1).transpose(0, 2, 1)
+        de = np.stack([p["xf"], p["xb"]])[:, None] @ change
+        at = kept["at"].ravel()
+        out = {"embed": np.stack([np.bincount(at, de[:, :, k].ravel(), len(p["embed"])) for k in range(de.shape[2])], 1).astype(self.dtype)}
+        for k, d in enumerate("fb"):
+            out |= {f"h{d}": grown[k, :h], f"x{d}": grown[k, h:-1], f"b{d}": grown[k, -1]}
+        return out
 
     def emissions(self, x: np.ndarray):
-        e = self.p["embed"][x]
-        f, kf = self._direction(e, "f")
-        b, kb = self._direction(e[:, ::-1], "b")
-        both = np.concatenate([f, b[:, ::-1]], 2)
-        return both @ self.p["out"] + self.p["out_b"], (e, kf, kb, both)
+        kept = self._read(x)
+        f, b = kept["rows"][:, 1:, : self.h]
+        both = np.concatenate([f, b[::-1]], 1).transpose(2, 0, 1)
+        return both @ self.p["out"] + self.p["out_b"], (kept, both)
 
     def marginals(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log normalizer, tag probabilities of each place, and expected transitions, all places valid."""
+        """Log normalizer, tag probabilities of each place, and expected transitions, all places valid: forward and backward sums,
+        scaled to one at every place."""
         n, steps, k = em.shape
-        trans = self.p["next"] + self.banned
-        a, b = np.empty_like(em), np.zeros_like(em)
-        a[:, 0] = em[:, 0] + self.p["first"] + self.banned_first
-        for t in range(1, steps):
-            a[:, t] = em[:, t] + _logsum(a[:, t - 1][:, :, None] + trans, 1)
-        for t in range(steps - 2, -1, -1):
-            b[:, t] = _logsum(trans[None] + (em[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-        z = _logsum(a[:, -1], 1)
+        trans = np.exp(self.p["next"].astype(np.float64) + self.banned)
+        high = em.max(2, keepdims=True)
+        e = np.exp(em.astype(np.float64) - high)
+        a, b, norm = np.empty_like(e), np.ones_like(e), np.empty((n, steps))
+        for t in range(steps):
+            now = e[:, t] * (a[:, t - 1] @ trans if t else np.exp(self.p["first"].astype(np.float64) + self.banned_first))
+            norm[:, t] = now.sum(1)
+            a[:, t] = now / norm[:, t, None]
         pair = np.zeros((k, k))
-        for t in range(1, steps):
-            pair += np.exp(a[:, t - 1][:, :, None] + trans + (em[:, t] + b[:, t])[:, None, :] - z[:, None, None]).sum(0)
-        return z, np.exp(a + b - z[:, None, None]), pair
+        for t in range(steps - 1, 0, -1):
+            later = e[:, t] * b[:, t] / norm[:, t, None]
+            b[:, t - 1] = later @ trans.T
+            pair += a[:, t - 1].T @ later
+        return np.log(norm).sum(1) + high[:, :, 0].sum(1), a * b, pair * trans
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         n, steps = x.shape
-        em, (e, kf, kb, both) = self.emissions(x)
+        em, (kept, both) = self.emissions(x)
         z, prob, pair = self.marginals(em)
         rows = np.arange(n)
         gold = np.take_along_axis(em, y[:, :, None], 2)[:, :, 0].sum(1) + self.p["first"][y[:, 0]] + self.p["next"][y[:, :-1], y[:, 1:]].sum(1)
-        dem = prob.copy()
-        np.add.at(dem, (rows[:, None], np.arange(steps)[None], y), -1)
-        dem /= n
-        seen = np.zeros_like(pair)
-        np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-        first = prob[:, 0].sum(0)
-        np.add.at(first, y[:, 0], -1)
-        g = {"next": (pair - seen) / n, "first": first / n, "out": np.einsum("nth,ntk->hk", both, dem), "out_b": dem.sum((0, 1))}
-        dboth = dem @ self.p["out"].T
-        de = self._back(e, kf, dboth[:, :, : self.h], "f", g)
-        de = de + self._back(e[:, ::-1], kb, dboth[:, ::-1, self.h :], "b", g)[:, ::-1]
-        g["embed"] = np.zeros_like(self.p["embed"])
-        np.add.at(g["embed"], x.ravel(), de.reshape(-1, de.shape[2]))
+        dem = prob
+        dem[rows[:, None], np.arange(steps)[None], y] -= 1
+        dem = (dem / n).astype(self.dtype)
+        seen = np.bincount((y[:, :-1] * TAGS + y[:, 1:]).ravel(), minlength=TAGS * TAGS).reshape(TAGS, TAGS)
+        flat = dem.reshape(n * steps, TAGS)
+        g = {"next": (pair - seen) / n, "first": dem[:, 0].sum(0), "out": both.reshape(n * steps, -1).T @ flat, "out_b": flat.sum(0)}
+        dboth = (dem @ self.p["out"].T).transpose(1, 2, 0)
+        g |= self._back(kept, np.stack([dboth[:, : self.h], dboth[::-1, self.h :]]))
         return float((z - gold).mean()), g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 48, rate: float = 0.01, seed: int = 5) -> BiLstmCrf:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 32, rate: float = 0.03, seed: int = 5) -> BiLstmCrf:
         rng, adam = np.random.default_rng(seed), Adam(self.p, rate)
-        for _ in range(epochs):
+        for e in range(epochs):
+            adam.rate = rate * (1 - 0.9 * e / epochs)
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 own = order[i : i + batch]
@@ -252,79 +273,128 @@ class BiLstmCrf:
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags of every window and the probability of each of them."""
-        return self.decode_scores(self.emissions(x)[0])
-
-    def quick_emissions(self, x: np.ndarray) -> np.ndarray:
-        """``emissions`` for inference, both directions at once: sigmoids by hyperbolic tangents, inputs by a table of classes."""
-        p, h = self.p, self.h
-        n, steps = x.shape
-        half = np.r_[np.full(3 * h, 0.5), np.ones(h)].astype(self.dtype)
-        table = np.stack([(p["embed"] @ p[f"x{d}"] + p[f"b{d}"]) * half for d in "fb"])
-        weight = np.stack([p[f"h{d}"] * half for d in "fb"])
-        state, cell, em = np.zeros((2, n, h), self.dtype), np.zeros((2, n, h), self.dtype), np.empty((steps, n, TAGS), self.dtype)
-        em[:] = p["out_b"]
-        out = np.stack([p["out"][:h], p["out"][h:]])
-        x = np.ascontiguousarray(x.T)
-        for t in range(steps):
-            g = state @ weight
-            g[0] += table[0].take(x[t], 0)
-            g[1] += table[1].take(x[steps - 1 - t], 0)
-            np.tanh(g, out=g)
-            ifo = g[:, :, : 3 * h]
-            ifo *= 0.5
-            ifo += 0.5
-            cell *= ifo[:, :, h : 2 * h]
-            cell += ifo[:, :, :h] * g[:, :, 3 * h :]
-            state = ifo[:, :, 2 * h :] * np.tanh(cell)
-            both = state @ out
-            em[t] += both[0]
-            em[steps - 1 - t] += both[1]
-        return em.transpose(1, 0, 2)
+        em = self.emissions(x)[0]
+        tags = self.best_tags(em)
+        return tags, np.take_along_axis(self.marginals(em)[1], tags[:, :, None], 2)[:, :, 0]
 
-    def may_hold(self, em: np.ndarray) -> np.ndarray:
-        """Whether the best path of a window has any span: the greatest score of all paths against that of the path without."""
+    def best_tags(self, em: np.ndarray) -> np.ndarray:
+        """Viterbi: the path of the greatest score for every window, all windows at once."""
         em = np.ascontiguousarray(em.transpose(1, 2, 0))
         trans = (self.p["next"] + self.banned)[:, :, None]
-        best = em[0] + (self.p["first"] + self.banned_first)[:, None]
-        bare = best[0].copy()
-        for e in em[1:]:
-            best = e + (best[:, None] + trans).max(0)
-            bare = e[0] + (bare + trans[0, 0])
-        return best.max(0) > bare
-
-    def decode_scores(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, prob, _ = self.marginals(em)
-        n, steps, _ = em.shape
-        trans = self.p["next"] + self.banned
-        best, back = em[:, 0] + self.p["first"] + self.banned_first, np.empty(em.shape, np.int64)
+        steps, k, n = em.shape
+        best, back = em[0] + (self.p["first"] + self.banned_first)[:, None], np.empty(em.shape, np.int8)
         for t in range(1, steps):
-            s = best[:, :, None] + trans
-            back[:, t] = s.argmax(1)
-            best = em[:, t] + s.max(1)
-        tags = np.empty((n, steps), np.int64)
-        tags[:, -1] = best.argmax(1)
+            s = best[:, None] + trans
+            back[t] = s.argmax(0)
+            best = em[t] + s.max(0)
+        tags, at = np.empty((steps, n), np.int64), np.arange(n)
+        tags[-1] = best.argmax(0)
         for t in range(steps - 1, 0, -1):
-            tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
-        return tags, np.take_along_axis(prob, tags[:, :, None], 2)[:, :, 0]
-
-
-def window_starts(text: str) -> range:
-    """Starts of the windows over the whole text; all of it but the ends is in two of them."""
-    return range(0, max(1, len(text) - STRIDE), STRIDE)
+            tags[t - 1] = back[t, tags[t], at]
+        return tags.T
 
+    def quick_emissions(self, x: np.ndarray) -> np.ndarray:
+        """``emissions`` for inference, as (block, place, tag, lane): both directions of all blocks at once, sigmoids by hyperbolic tangents,
+        states kept twice too large, the input as further rows of the state, and the tags of one place as further rows of the next one's gates."""
+        p, h, d = self.p, self.h, self.dtype
+        n, steps = x.shape
+        blocks, width, top = -(-n // LANES), p["embed"].shape[1], 4 * self.h
+        x = np.concatenate([x, np.zeros((blocks * LANES - n, steps), x.dtype)])
+        x = x.T.astype(np.intp).reshape(steps, blocks, LANES)
+        weight = np.zeros((2, 1, top + TAGS, h + width + 1), d)
+        weight[:, 0, :top] = self._weights()
+        weight[:, 0, top:, :h] = p["out"][:h].T, p["out"][h:].T
+        weight[:, :, :, :h] /= 2
+        weight[0, 0, top:, -1] = p["out_b"]
+        embed = np.ascontiguousarray(p["embed"].T)
+        rows = np.zeros((2, blocks, h + width + 1, LANES), d)
+        rows[:, :, -1] = 1
+        state, given, taken = rows[:, :, :h], rows[:, :, h:-1].transpose(2, 0, 1, 3), np.empty((width, 2, blocks, LANES), d)
+        cell, out = np.zeros((2, blocks, h, LANES), d), np.empty((2, blocks, top + TAGS, LANES), d)
+        g, tags, both = out[:, :, :top], out[:, :, top:], np.empty((2, blocks, LANES), np.intp)
+        em = np.zeros((blocks, steps, TAGS, LANES), d)
+        for t in range(steps + 1):
+            if t < steps:
+                both[0], both[1] = x[t], x[steps - 1 - t]
+                given[:] = embed.take(both, 1, taken, "clip")
+            np.matmul(weight, rows, out=out)
+            if t:
+                em[:, t - 1] += tags[0]
+                em[:, steps - t] += tags[1]
+            if t < steps:
+                np.tanh(g, out=g)
+                g[:, :, : 3 * h] += 1
+                cell *= g[:, :, h : 2 * h]
+                g[:, :, :h] *= g[:, :, 3 * h :]
+                cell += g[:, :, :h]
+                cell *= 0.5
+                np.tanh(cell, out=state)
+                state *= g[:, :, 2 * h : 3 * h]
+        return em
 
-def text_windows(text: str) -> np.ndarray:
-    """The classes of all windows of a text."""
+    def may_hold(self, em: np.ndarray) -> np.ndarray:
+        """For (block, place, tag, lane) whether the best path of a lane can have a span.
+
+        A path with spans gains over the path without what its spans gain, each from where it begins to where it ends. The greatest gain of a span of
+        each kind is found in one pass; a span right behind another counts as if there were room between them. Where no span gains, the path
+        without spans is the best one; elsewhere decoding decides.
+        """
+        trans = self.p["next"].astype(np.float64) - self.p["next"][0, 0]
+        begin, inside = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        leave = np.maximum(trans[begin, 0], trans[inside, 0])
+        follow = (np.maximum(trans[begin], trans[inside])[:, begin] - leave[:, None]).max(0)
+        enter = np.maximum(np.maximum(trans[0, begin], follow), self.p["first"][begin] - self.p["first"][0])
+        stay = np.maximum(trans[begin, inside], trans[inside, inside])
+        # of a window's last span no transition out of it counts
+        enter, stay, leave = (v.astype(self.dtype)[:, None] for v in (enter, stay, np.maximum(leave, 0)))
+        gain = np.full((len(em), len(KINDS), em.shape[3]), -np.inf, self.dtype)
+        most = gain.copy()
+        for t in range(em.shape[1]):
+            now = em[:, t]
+            gain += now[:, 2::2]
+            gain += stay
+            np.maximum(gain, now[:, 1::2] + enter, out=gain)
+            gain -= now[:, :1]
+            np.maximum(most, gain, out=most)
+        return (most + leave).max(1) > -1e-3  # rounding must not hide a span
+
+    def spans(self, x: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, str, float]]]]:
+        """The windows that hold spans, and those spans."""
+        where, held = [], []
+        for k in range(0, len(x), BATCH):
+            em = self.quick_emissions(x[k : k + BATCH])
+            hold = self.may_hold(em)
+            hold.reshape(-1)[len(x) - k :] = False
+            block, lane = np.nonzero(hold)
+            where += (k + block * LANES + lane).tolist()
+            held.append(em[block, :, :, lane])
+            if where and (len(where) >= LANES or k + BATCH >= len(x)):  # few windows: they are decoded together
+                em = np.concatenate(held)
+                tags = self.best_tags(em)
+                own = np.flatnonzero(tags.any(1))
+                if len(own):
+                    prob = np.take_along_axis(self.marginals(em[own])[1], tags[own][:, :, None], 2)[:, :, 0]
+                    for i, y, p in zip(own, tags[own], prob, strict=True):
+                        yield where[i], tag_spans(y, p)
+                where, held = [], []
+
+
+def window_starts(n: int) -> range:
+    """Starts of the windows over all of a text of ``n`` characters."""
+    return range(0, max(1, n - OVERLAP), STRIDE)
+
+
+def text_windows(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of a text's windows: those of full width, and the last one, padded to the next width."""
     c = _class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    n = len(window_starts(text))
-    flat = np.zeros((n - 1) * STRIDE + WINDOW, np.int8)
-    flat[: len(c)] = c
-    return np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[::STRIDE]
+    last = window_starts(len(c))[-1]
+    full = np.lib.stride_tricks.sliding_window_view(c, WINDOW)[:last:STRIDE] if last else np.empty((0, WINDOW), np.int8)
+    return full, np.pad(c[last:], (0, last - len(c) + WIDTHS[bisect_left(WIDTHS, len(c) - last)]))[None]
 
 
-def _window(text: str, start: int) -> np.ndarray:
-    c = char_classes(text[start : start + WINDOW])
-    return np.pad(c, (0, WINDOW - len(c)))
+def _short_window(text: str, start: int) -> np.ndarray:
+    c = char_classes(text[start : start + SHORT])
+    return np.pad(c, (0, SHORT - len(c)))
 
 
 def tag_spans(tags: np.ndarray, prob: np.ndarray) -> list[tuple[int, int, str, float]]:
@@ -402,7 +472,7 @@ def _made_up(rng: random.Random, words: list[str]) -> tuple[str, str]:
     """A kind and a made-up instance, in spellings that the base patterns find or miss."""
     num = lambda a, b: str(rng.randint(a, b))
     name = lambda: _name(rng, words)
-    kind = rng.choice(KINDS)
+    kind = rng.choice(["email", *KINDS])  # addresses have the most spellings
     if kind == "email":
         at, dot = rng.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), (" at ", " dot "), (" at ", " dot "), (" {at} ", "."), (" <at> ", "."), ("{at}", "{dot}"), ("<at>", " <dot> ")])
         host = dot.join([name() + rng.choice(["", num(1, 9)])] + [name() for _ in range(rng.randint(0, 1))] + [rng.choice(["com", "org", "net", "de", "fr"])])
@@ -437,25 +507,26 @@ def _tags(length: int, spans: list[Span]) -> np.ndarray:
 
 
 def training_windows(texts: list[str], made_up: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with tags: of ``texts`` by the base patterns, and ``made_up`` ones with inserted instances or decoys."""
+    """Windows with tags: of the whole of ``texts`` by the base patterns (of windows without anything an eighth), and ``made_up`` ones with
+    inserted instances or decoys."""
     rng, xs, ys = random.Random(seed), [], []
     for text in texts:
         spans = base_spans(text)
-        for i, s in enumerate(window_starts(text)):
-            if i % 8 and not _TRIGGER.search(text, s, s + WINDOW):  # an eighth of the windows without anything
+        for i, s in enumerate(range(0, max(1, len(text) - SHORT + SHORT_STRIDE), SHORT_STRIDE)):
+            if i % 8 and not _TRIGGER.search(text, s, s + SHORT):
                 continue
-            own = [(a - s, b - s, k) for a, b, k in spans if a >= s and b <= s + WINDOW]
-            cut = any(a < s + WINDOW and b > s and not (a >= s and b <= s + WINDOW) for a, b, _ in spans)
+            own = [(a - s, b - s, k) for a, b, k in spans if a >= s and b <= s + SHORT]
+            cut = any(a < s + SHORT and b > s and not (a >= s and b <= s + SHORT) for a, b, _ in spans)
             if not cut:
-                xs.append(_window(text, s))
-                ys.append(_tags(WINDOW, own))
+                xs.append(_short_window(text, s))
+                ys.append(_tags(SHORT, own))
     carriers = texts or ["lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"]
     words = sorted({w for t in carriers for w in t.lower().split() if w.isalpha() and len(w) < 12})
     for _ in range(made_up):
         text = rng.choice(carriers)
-        at = rng.randrange(max(1, len(text) - WINDOW))
-        line = _TRIGGER.sub("", text[at : at + WINDOW])
-        put = rng.randrange(0, 50)
+        at = rng.randrange(max(1, len(text) - SHORT))
+        line = _TRIGGER.sub("", text[at : at + SHORT])
+        put = rng.randrange(0, 60)
         head = line[:put].rpartition(" ")[0]
         head = head + " " if head else ""
         if rng.random() < 0.65:
@@ -463,59 +534,60 @@ def training_windows(texts: list[str], made_up: int, seed: int = 5) -> tuple[np.
             spans = [(len(head), len(head) + len(what), kind)]
         else:
             what, spans = _decoy(rng, words), []
-        whole = (head + what + rng.choice([" ", ". ", ", ", "\n"]) + line[put:])[:WINDOW]
+        end = SHORT if rng.random() < 0.5 else rng.randint(0, 40)  # a short text is a window that ends early
+        whole = (head + what + rng.choice([" ", ". ", ", ", "\n"]) + line[put : put + end])[:SHORT]
         if all(b <= len(whole) for _, b, _ in spans):
-            xs.append(_window(whole, 0))
-            ys.append(_tags(WINDOW, spans))
-    return np.array(xs).reshape(-1, WINDOW), np.array(ys).reshape(-1, WINDOW)
+            xs.append(_short_window(whole, 0))
+            ys.append(_tags(SHORT, spans))
+    return np.array(xs).reshape(-1, SHORT), np.array(ys).reshape(-1, SHORT)
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 400, sample_chars: int = 4_000, made_up: int = 2_500) -> BiLstmCrf:
-    """Fit on the first ``sample_chars`` characters of at most ``sample_rows`` texts with a trigger (smallest hashed
-    ids), labelled by the base patterns, and ``made_up`` made-up windows."""
-    every = docs.select(F.col(doc_id).alias("doc_id"), F.substring(F.col(text), 1, sample_chars).alias("t"))
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 400, made_up: int = 2_500) -> BiLstmCrf:
+    """Fit on at most ``sample_rows`` whole texts with a trigger (smallest hashed ids), labelled by the base patterns, and
+    ``made_up`` made-up windows."""
+    every = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     part = bounded_sample(every.filter(F.col("t").rlike(TRIGGER)), "doc_id", sample_rows, over=16, of=every)
     texts = sorted(r.t for r in part.collect())
-    return BiLstmCrf().fit(*training_windows(texts, made_up), epochs=12)
+    return BiLstmCrf().fit(*training_windows(texts, made_up), epochs=10)
 
 
 def added_spans(texts: list[str], bases: list[list[Span]], model: BiLstmCrf, least: float) -> list[list[Span]]:
     """What the network adds to the base spans of each text."""
     found: list[list[tuple[int, int, str, float, bool, bool]]] = [[] for _ in texts]
-    held, owner, starts = [], [], []
+    held: dict[int, tuple[list, list, list]] = {}  # width: windows, and for each its text and its start
 
     def run() -> None:
-        x, at, scores = np.concatenate(held), [], []
-        for k in range(0, len(x), BATCH):
-            em = model.quick_emissions(x[k : k + BATCH])
-            own = np.flatnonzero(model.may_hold(em))
-            at.append(own + k)
-            scores.append(em[own])
-        where, em = np.concatenate(at), np.concatenate(scores)  # the few windows with spans are decoded together
-        for k in range(0, len(where), 1024):
-            tags, prob = model.decode_scores(em[k : k + 1024])
-            for j, y, p in zip(where[k : k + 1024], tags, prob, strict=True):
+        for xs, owner, starts in held.values():
+            for j, spans in model.spans(np.concatenate(xs)):
                 i, s = owner[j], starts[j]
                 n = len(texts[i])
-                for a, b, kind, score in tag_spans(y, p) if y.any() else []:
+                for a, b, kind, score in spans:
                     if s + a < n:
                         b = min(b, n - s)
                         found[i].append((s + a, s + b, kind, score, a == 0 and s > 0, b == WINDOW and s + b < n))
-        held.clear(), owner.clear(), starts.clear()
+        held.clear()
 
+    waiting = 0
     for i, t in enumerate(texts):
         if t:
-            held.append(text_windows(t))
-            own_starts = window_starts(t)
-            starts += own_starts
-            owner += [i] * len(own_starts)
-            if len(owner) >= 16_384:
+            first = 0
+            for x in text_windows(t):
+                xs, owner, starts = held.setdefault(x.shape[1], ([], [], []))
+                xs.append(x)
+                owner += [i] * len(x)
+                starts += range(first, first + len(x) * STRIDE, STRIDE)
+                first += len(x) * STRIDE
+                waiting += x.size
+            if waiting >= 2 * RUN:
                 run()
-    if held:
-        run()
+                waiting = 0
+    run()
     out = []
     for text, base, own in zip(texts, bases, found, strict=True):
-        free = [x for x in joined(own) if x[3] >= least and valid(x[2], text[x[0] : x[1]]) and not any(x[0] < b and a < x[1] for a, b, _ in base)]
+        taken = merged(base)
+        ends = [b for _, b, _ in taken]
+        clear = lambda a, b, taken=taken, ends=ends: (i := bisect_right(ends, a)) == len(taken) or taken[i][0] >= b
+        free = [x for x in joined(own) if x[3] >= least and clear(x[0], x[1]) and valid(x[2], text[x[0] : x[1]])]
         out.append([(a, b, k) for a, b, k, _ in reconcile(free)])
     return out
 
@@ -523,10 +595,12 @@ def added_spans(texts: list[str], bases: list[list[Span]], model: BiLstmCrf, lea
 def find_pii(docs: DataFrame, model: BiLstmCrf, text: str = "text", least: float = 0.8) -> DataFrame:
     """Append ``base`` and ``added``: arrays of (kind, start, end) with code points, end exclusive, by start, then kind.
 
-    Null and empty texts have no spans. Rows and other columns stay; input columns named ``base`` or ``added`` are
-    replaced. An empty table gives an empty table. The whole of every text is read by the network.
+    Null and empty texts have no spans. Rows, repeated ones too, and other columns stay; input columns named ``base`` or ``added``
+    are replaced. An empty table gives an empty table. The whole of every text is read by the network, of any length: a text is
+    held in memory once, its windows in runs of bounded size, and spans that no window holds whole are joined from their pieces.
     """
     kept = [c for c in docs.columns if c not in ("base", "added")]
+    given = fresh_name([*kept, "base", "added"])
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # a few thousand numbers
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -535,12 +609,12 @@ def find_pii(docs: DataFrame, model: BiLstmCrf, text: str = "text", least: float
 
     def tagged(batches) -> Iterator[pa.RecordBatch]:
         own: BiLstmCrf = pickle.loads(packed.value)
-        for batch, texts in text_batches(batches, name="__text"):
+        for batch, texts in text_batches(batches, RUN, given):
             whole = [t or "" for t in texts]
             bases = [base_spans(t) if t else [] for t in whole]
-            yield with_columns(batch, ["__text"], base=rows(bases), added=rows(added_spans(whole, bases, own, least)))
+            yield with_columns(batch, [given], base=rows(bases), added=rows(added_spans(whole, bases, own, least)))
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(tagged, fields(docs.select(*kept)) + "base array<struct<kind:string,start:bigint,end:bigint>>, added array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(*kept, F.col(text).alias(given)).mapInArrow(tagged, fields(docs.select(*kept)) + "base array<struct<kind:string,start:bigint,end:bigint>>, added array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact(docs: DataFrame, model: BiLstmCrf, text: str = "text", least: float = 0.8) -> DataFrame:
@@ -550,7 +624,7 @@ def redact(docs: DataFrame, model: BiLstmCrf, text: str = "text", least: float =
 
     def clean(batches) -> Iterator[pa.RecordBatch]:
         own: BiLstmCrf = pickle.loads(packed.value)
-        for batch, texts in text_batches(batches, name=text):
+        for batch, texts in text_batches(batches, RUN, text):
             at = [i for i, t in enumerate(texts) if t]
             whole = [texts[i] for i in at]
             bases = [base_spans(t) for t in whole]
@@ -562,14 +636,20 @@ def redact(docs: DataFrame, model: BiLstmCrf, text: str = "text", least: float =
     return docs.mapInArrow(clean, docs.schema)
 
 
-def replaced(text: str, spans: list[Span]) -> str:
-    out, end, runs = [], 0, []
+def merged(spans: list[Span]) -> list[Span]:
+    """Runs of overlapping spans, in order; the earliest (then longest) of a run gives its kind."""
+    runs: list[Span] = []
     for a, b, k in sorted(spans, key=lambda s: (s[0], -s[1], KINDS.index(s[2]))):
         if runs and a < runs[-1][1]:
             runs[-1] = (runs[-1][0], max(b, runs[-1][1]), runs[-1][2])
         else:
             runs.append((a, b, k))
-    for a, b, k in runs:
+    return runs
+
+
+def replaced(text: str, spans: list[Span]) -> str:
+    out, end = [], 0
+    for a, b, k in merged(spans):
         out += [text[end:a], f"<{k}>"]
         end = b
     return "".join([*out, text[end:]])

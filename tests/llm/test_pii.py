@@ -65,7 +65,7 @@ def test_reconciliation_takes_the_greatest_total():
 @pytest.fixture(scope="module")
 def model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    return pii.train(docs, made_up=1_500)
+    return pii.train(docs)
 
 
 def test_held_out_windows(model):
@@ -74,10 +74,16 @@ def test_held_out_windows(model):
 
 
 def test_windows_cover_whole_texts(model):
-    for n in (0, 1, 48, 95, 96, 97, 143, 144, 145, 1000):
-        starts, text = list(pii.window_starts("x" * n)), ("aé7\U0001fae8٣ " * n)[:n]
-        assert {p for s in starts for p in range(s, s + pii.WINDOW)} >= set(range(n))
-        assert (pii.text_windows(text) == np.stack([pii._window(text, s) for s in starts])).all()
+    for n in (1, 48, 95, 96, 97, 448, 511, 512, 513, 575, 576, 577, 3000):
+        text = ("aé7\U0001fae8٣ " * n)[:n]
+        starts, (full, last) = list(pii.window_starts(n)), pii.text_windows(text)
+        assert len(starts) == len(full) + 1 and last.shape[1] in pii.WIDTHS
+        classes, seen = pii.char_classes(text), np.full(n, -1)
+        for s, x in zip(starts, [*full, last[0]], strict=True):
+            own = x[: n - s]
+            assert (own == classes[s : s + len(own)]).all() and not x[n - s :].any()
+            seen[s : s + len(own)] = own
+        assert (seen == classes).all()
     for text, shape in (("write to {} today", "jane at example dot com"), ("write to {} today", "jane {at} example.com"), ("write to {} today", "jane <at> example.com")):
         whole = text.format(shape)
         assert not pii._TRIGGER.search(whole)
@@ -89,10 +95,55 @@ def test_windows_cover_whole_texts(model):
 
 def test_quick_inference_equals_the_network(model):
     x, _ = training_windows(["plain words of a sentence that carries things " * 5], 300, seed=7)
-    quick = model.quick_emissions(x)
-    assert np.allclose(quick, model.emissions(x)[0], atol=1e-3)
-    hold, tags = model.may_hold(quick), model.decode(x)[0]
+    em = model.quick_emissions(x)
+    flat = em.transpose(0, 3, 1, 2).reshape(-1, pii.SHORT, pii.TAGS)[: len(x)]
+    assert np.allclose(flat, model.emissions(x)[0], atol=1e-3)
+    tags, prob = model.decode(x)
+    hold = model.may_hold(em).ravel()[: len(x)]
     assert not tags[~hold].any()
+    found = dict(model.spans(x))
+    assert set(found) == set(np.flatnonzero(tags.any(1)))
+    for i, spans in found.items():
+        want = pii.tag_spans(tags[i], prob[i])
+        assert [s[:3] for s in spans] == [s[:3] for s in want] and np.allclose([s[3] for s in spans], [s[3] for s in want], atol=1e-3)
+
+
+def test_decoding_equals_all_tag_sequences():
+    rng = np.random.default_rng(3)
+    net = BiLstmCrf(dtype=np.float64)
+    net.p["next"], net.p["first"] = rng.normal(size=(pii.TAGS, pii.TAGS)), rng.normal(size=pii.TAGS)
+    em = rng.normal(0, 1.5, (6, 4, pii.TAGS))
+    em[3:, :, 0] += 4  # some windows without spans
+    every = np.stack(np.meshgrid(*[np.arange(pii.TAGS)] * 4, indexing="ij"), -1).reshape(-1, 4)
+    trans, first = net.p["next"] + net.banned, net.p["first"] + net.banned_first
+    best, (z, prob, pair) = net.best_tags(em), net.marginals(em)
+    all_pairs = np.zeros_like(pair)
+    for w in range(len(em)):
+        score = first[every[:, 0]] + em[w, np.arange(4), every].sum(1) + trans[every[:, :-1], every[:, 1:]].sum(1)
+        assert (every[score.argmax()] == best[w]).all()
+        total = np.log(np.exp(score).sum())
+        p = np.exp(score - total)
+        assert abs(total - z[w]) < 1e-9
+        for t in range(4):
+            assert np.allclose(np.bincount(every[:, t], p, pii.TAGS), prob[w, t])
+            if t:
+                np.add.at(all_pairs, (every[:, t - 1], every[:, t]), p)
+    assert np.allclose(all_pairs, pair)
+    hold = net.may_hold(np.pad(em, ((0, pii.LANES - len(em)), (0, 0), (0, 0))).transpose(1, 2, 0)[None])[0, : len(em)]
+    assert not best[~hold].any()
+
+
+def test_reconciliation_equals_all_subsets():
+    rng = random.Random(8)
+    for _ in range(200):
+        found = [(a := rng.randrange(20), a + rng.randint(1, 9), rng.choice(pii.KINDS), rng.choice([0.8, 0.85, 0.9, 1.0])) for _ in range(rng.randint(0, 7))]
+        most = 0.0
+        for mask in range(1 << len(found)):
+            own = sorted(f for i, f in enumerate(found) if mask >> i & 1)
+            if all(a[1] <= b[0] for a, b in zip(own, own[1:], strict=False)):
+                most = max(most, sum(s * (b - a) for a, b, _, s in own))
+        got = reconcile(found)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False)) and abs(sum(s * (b - a) for a, b, _, s in got) - most) < 1e-9
 
 
 def test_spans_cut_by_borders_are_joined():
@@ -105,6 +156,13 @@ def test_spans_cut_by_borders_are_joined():
     assert pii.joined([(90, 144, "email", 0.9, False, True), (96, 150, "card", 0.9, True, False), (300, 310, "ip", 0.9, True, False)]) == []
 
 
+def test_very_long_text(model):
+    plain = "plain words of a sentence that carries things. "
+    text = plain * 3000 + "jane [at] mail [dot] example [dot] com " + plain * 3000 + "call (274) 555-9629 now " + plain * 50
+    got = pii.added_spans([text], [[]], model, 0.8)[0]
+    assert {k for _, _, k in got} == {"email", "phone"} and any("jane" in text[a:b] for a, b, _ in got) and any("555" in text[a:b] for a, b, _ in got)
+
+
 def test_operator(spark, model):
     hard = ["write to jane [at] mail [dot] example [dot] com today", "call (274) 555-9629 now", None, "mail a.b@c.example.com or 10.0.0.1"]
     texts = ODD + hard
@@ -116,5 +174,7 @@ def test_operator(spark, model):
         assert all(a[1] <= b[0] for a, b in zip(every, every[1:], strict=False)) and all(b.end <= s.start or s.end <= b.start for s in r.added for b in r.base)
     clean = {r.doc_id: r.text for r in redact(df.select("doc_id", "text"), model).collect()}
     assert clean[len(texts) - 1] == "mail <email> or <ip>" and clean[0] is None
+    names = df.withColumnRenamed("base", "given_text").withColumnRenamed("added", "Given_Text_")
+    assert find_pii(names, model).columns == ["doc_id", "text", "given_text", "Given_Text_", "base", "added"]
     empty = df.limit(0)
     assert find_pii(empty, model).collect() == [] and redact(empty, model).collect() == []
