@@ -1,30 +1,33 @@
 """Similarity join on the Jaccard index of word n-grams, by a MinHash LSH forest.
 
 1. Every text becomes its set of n-gram hashes (64 bits) and a signature of ``trees * depth`` minima. Texts
-   with the same set are one representative with a number of copies.
-2. A tree orders the representatives by its share of the signature, as a prefix trie. Matched
-   prefixes are shortened from ``depth`` on until a pair at the threshold meets in some tree with at
-   least the target probability (``forest_depth``); representatives below one trie node are candidates.
-3. Within a node everything is compared with the node's smallest id by whole signatures; what doesn't match it
-   is compared with all members, in blocks. Signature agreement above ``floor`` links two candidates;
-   linked candidates form families (connected components).
-4. Within a family all pairs are verified exactly on the n-gram sets, in blocks of bounded size. Links are
+   with the same set are one representative with a number of copies, named by the set's hash.
+2. A tree sorts the representatives by its share of the signature, as a prefix trie. The first one below a trie node is the node's pivot.
+   A representative starts at the node of the longest prefix it shares with others and is compared with the pivot there, by whole
+   signatures; then its prefix is shortened, as long as it is not covered, down to the length at which a pair at the threshold shares a
+   node of some tree with the target probability (``forest_depth``), and no further. It is covered by a pivot that is all but equal, or by one
+   that hangs together with the pivot of the shortest prefix. What stays uncovered (strays) is compared with all below that node, in blocks.
+   Equal minima of at least ``least_agreement`` link two candidates: the share of pairs at the threshold that have fewer is a hundredth of
+   what the target recall leaves. Linked candidates form families (connected components).
+3. Within a family all pairs are verified exactly on the n-gram sets, in blocks of bounded size. Links are
    counted there; pairs are never emitted, only the count of each member and a spanning forest.
 
-No trie node, family or partner list is capped: larger ones have more blocks.
+No trie node, family or partner list is capped: larger ones have more chunks and blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, settings, text_batches, with_columns
+from .common import materialize, release, settings, text_batches, with_columns
 from .components import components
 
 _BLOOM = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__optimizer__runtime__bloomFilter__enabled": "true", "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0", "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1g"}
@@ -89,24 +92,42 @@ def forest_depth(threshold: float, trees: int, depth: int, recall: float) -> int
     return depth
 
 
-def _groups(batches, key: list[str]):
-    """Tables of equal ``key`` from batches that come sorted by it."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def least_agreement(threshold: float, size: int, recall: float) -> int:
+    """The number of equal minima that a pair at ``threshold`` misses with a hundredth of the probability 1 - ``recall`` at most."""
+    below = 0.0
+    for k in range(size):
+        below += math.comb(size, k) * threshold**k * (1 - threshold) ** (size - k)
+        if below > (1 - recall) / 100:
+            return k
+    return size
+
+
+def _whole_groups(batches, key: list[str]) -> Iterator[pa.Table]:
+    """Tables that hold all rows of their groups, from batches that come sorted by ``key``."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
-        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            this = tuple(c[lo] for c in cols)
-            if this != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = this
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        cuts = _starts(t, key)
+        if cuts[-1]:
+            yield t.slice(0, cuts[-1])
+        held = t.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def _starts(t: pa.Table, key: list[str]) -> np.ndarray:
+    cols = [t.column(k).to_numpy() for k in key]
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])])
+
+
+def _groups(batches, key: list[str]) -> Iterator[pa.Table]:
+    """A table for each value of ``key`` from batches that come sorted by it."""
+    for t in _whole_groups(batches, key):
+        starts = _starts(t, key)
+        for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
+            yield t.slice(lo, hi - lo)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,17 +157,58 @@ def _agree(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def _pivot_match(batches, least: int):
-    for batch in batches:
-        if batch.num_rows:
-            same = _signatures(batch.column("sig").to_pylist()) == _signatures(batch.column("pivot_sig").to_pylist())
-            yield with_columns(batch, ["pivot_sig"], matched=pa.array(same.sum(1) >= least))
+def descend(path: np.ndarray, sig: np.ndarray, first: np.ndarray, used: int, least: int, close: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tries in sorted order: rows of minima ``path``, whole signatures, and whether a row is the first below a node of ``used`` minima. Gives
+    (row, pivot) of all linked pairs, and which rows stay uncovered."""
+    n, depth = path.shape
+    at = np.arange(n)
+    change = [first]
+    for j in range(depth):
+        change.append(change[-1] | np.r_[True, path[1:, j] != path[:-1, j]])
+    covered, before = first.copy(), at
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for d in range(depth, used - 1, -1):  # from the longest prefix to the shortest
+        pivot = np.maximum.accumulate(np.where(change[d] if d > used else first, at, 0))
+        open_ = np.flatnonzero((pivot != before) & ~covered)
+        before = pivot
+        agree = np.empty(len(open_), np.int64)
+        for i in range(0, len(open_), 8192):
+            rows = open_[i : i + 8192]
+            agree[i : i + 8192] = (sig[rows] == sig[pivot[rows]]).sum(1)
+        hit = open_[agree >= least]
+        found.append((hit, pivot[hit]))
+        covered[open_[agree >= close]] = True
+    linked = first.copy()
+    for rows, pivots in reversed(found):  # pivots of shorter prefixes first
+        linked[rows] |= linked[pivots]
+    rows, pivots = (np.concatenate(c) for c in zip(*found, strict=True))
+    return rows, pivots, ~(covered | linked)
+
+
+def _trie_pass(batches, used: int, least: int, close: int, chunk: int):
+    """For every member of a node: the pivots it is linked with, and whether it is a stray. Signatures go on where a node has strays, or may
+    have some in another chunk."""
+    for t in _whole_groups(batches, ["node", "chunk"]):
+        first = np.zeros(t.num_rows, bool)
+        first[_starts(t, ["node", "chunk"])] = True
+        key, c = t.column("key").to_numpy(), t.column("c").to_numpy()
+        sig = _signatures(t.column("sig").to_pylist())
+        rows, pivots, stray = descend(_signatures(t.column("path").to_pylist()), sig, first, used, least, close)
+        stray &= c > 2  # of two the other one is the pivot
+        order = np.argsort(rows, kind="stable")
+        near = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(rows, minlength=len(key)))].astype(np.int32)), pa.array(key[pivots[order]]))
+        group = np.cumsum(first) - 1
+        open_ = (np.bincount(group, stray) > 0)[group] | (c > chunk)
+        keep = np.flatnonzero((open_ | ~first) & ~(first & (t.column("chunk").to_numpy() > 0)))  # a pivot stands in every chunk of its node
+        kept = pa.array([x if o else None for x, o in zip(t.column("sig").to_pylist(), open_, strict=True)], pa.binary())
+        out = pa.RecordBatch.from_arrays([t.column("node").combine_chunks(), pa.array(key), pa.array(c), kept, pa.array(stray), near], names=["node", "key", "c", "sig", "stray", "near"])
+        yield out.take(pa.array(keep))
 
 
 def _stray_edges(batches, least: int):
     """Within a group: edges between strays (is_stray) and members, as (id, smallest id it hangs on)."""
     for t in _groups(batches, ["node", "stray_block", "member_block"]):
-        ids, stray = t.column("rep").to_numpy(), t.column("is_stray").to_numpy(zero_copy_only=False)
+        ids, stray = t.column("key").to_numpy(), t.column("is_stray").to_numpy()
         sig = _signatures(t.column("sig").to_pylist())
         if not stray.any() or stray.all():
             continue
@@ -164,8 +226,8 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(x), len(y)), np.int64)
     a, b = np.concatenate(x), np.concatenate(y)
     shared = np.intersect1d(a, b)
-    for i in range(0, len(shared), 8192):
-        part = shared[i : i + 8192]
+    for i in range(0, len(shared), 2048):
+        part = shared[i : i + 2048]
 
         def dense(sets, part=part):
             m = np.zeros((len(sets), len(part)), np.float32)
@@ -179,24 +241,23 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(batches, n: int, num: int, den: int):
-    """Exact links within a family's block: for each member its weighted links and the smallest id it hangs on."""
+def _cut(batches, n: int):
+    """The n-gram sets of the members' texts, each text cut once. An id may stand on several rows: only the text whose set is meant counts."""
     words = _Words()
+    for batch, texts in text_batches(batches):
+        sets = [shingles(t, n, words) for t in texts]
+        meant = [set_key(s) == k for s, k in zip(sets, zip(batch.column("key").to_pylist(), batch.column("k2").to_pylist(), strict=True), strict=True)]
+        yield with_columns(batch, ["text", "k2"], grams=pa.array([s.tobytes() for s in sets], pa.large_binary())).filter(pa.array(meant))
+
+
+def _verify(batches, num: int, den: int):
+    """Exact links within a family's block: for each member its weighted links and the least member it hangs on."""
     for t in _groups(batches, ["family", "i", "j"]):
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        ids, block, copies = (t.column(c).to_numpy() for c in ("rep", "block", "copies"))
-        k1, k2 = t.column("k1").to_numpy(), t.column("k2").to_numpy()
-        sets, use = [], []
-        seen = set()
-        for r, text in enumerate(t.column("text").to_pylist()):
-            s = shingles(text, n, words)
-            # an id may stand on several rows; the row whose set is meant counts, once
-            if set_key(s) == (k1[r], k2[r]) and ids[r] not in seen:
-                seen.add(ids[r])
-                sets.append(s)
-                use.append(r)
-        use = np.array(use, np.int64)
-        ids, block, copies = ids[use], block[use], copies[use]
+        ids, use = np.unique(t.column("key").to_numpy(), return_index=True)  # repeated rows of a text count once here, all in ``copies``
+        block, copies = t.column("block").to_numpy()[use], t.column("copies").to_numpy()[use]
+        grams = t.column("grams").to_pylist()
+        sets = [np.frombuffer(grams[r], np.uint64) for r in use]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(left) or not len(right):
             continue
@@ -210,27 +271,25 @@ def _verify(batches, n: int, num: int, den: int):
         if i != j:
             links[right] += linked.T @ copies[left]
         a, b = np.nonzero(linked)
-        order = np.argsort(ids)
-        place = np.empty(len(ids), np.int64)
-        place[order] = np.arange(len(ids))
-        root = ids[order][_forest(len(ids), place[left[a]], place[right[b]])][place]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], names=["rep", "links", "root"])
+        root = ids[_forest(len(ids), left[a], right[b])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], names=["key", "links", "root"])
 
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), trees: int = 16, depth: int = 8, recall: float = 0.9995, floor: float = 0.67, block: int = 256, block_size: int = 500_000) -> DataFrame:
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), trees: int = 16, depth: int = 8, recall: float = 0.9995, close: float = 0.98, chunk: int = 65_536, block: int = 1_024, block_size: int = 1_000_000) -> DataFrame:
     """One row for each input row: ``doc_id``, ``class_id`` (the smallest id connected to it by links), ``rep_id`` (the
     smallest id with the same n-gram set) and ``n_links``, the number of other rows with a Jaccard index of at least
     ``threshold`` (numerator, denominator).
 
     Words are runs without ASCII white space, compared as they are; a text of fewer than ``n`` words is one
     n-gram. A text without words (null, empty) is its own class and has no links. A row with a null id has null
-    class and no links. Repeated rows are links of each other. Other columns are not read. Empty table: no rows.
+    class and no links. Repeated rows are links of each other; of rows with one id and different texts each has its own links. Texts of any
+    length count whole. Other columns are not read. Empty table: no rows.
 
-    A pair at the threshold is found with probability ``recall`` at least (less 0.0002 for the signature
-    floor), more similar ones more often; links are exact, on 64-bit n-gram hashes.
+    A pair at the threshold is found with probability ``recall`` at least (less a hundredth of the rest), more similar ones more often; links
+    are exact, on 64-bit n-gram hashes.
     """
     size, (num, den) = trees * depth, threshold
-    used, least = forest_depth(num / den, trees, depth, recall), int(np.ceil(floor * trees * depth))
+    used, least = forest_depth(num / den, trees, depth, recall), least_agreement(num / den, trees * depth, recall)
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def signed(batches):
@@ -242,55 +301,57 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
 
     rows = materialize(source.mapInArrow(signed, "id long, k1 long, k2 long, n long, sig binary"), "sets")
     sets = rows.filter("n > 0 AND id IS NOT NULL")
-    reps = materialize(sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
-
-    # 2: trie nodes with two representatives or more
-    prefixes = F.array(*(F.xxhash64(F.lit(t), F.substring("sig", 2 * t * depth + 1, 2 * used)) for t in range(trees)))
-    nodes = reps.select("rep", F.explode(prefixes).alias("node"))
-    full = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).filter("c > 1")
-    members = nodes.join(full, "node").filter("rep <> pivot OR c > 2")
-    sig = reps.select("rep", "sig")
-    pivots = sig.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig"))
-
-    # 3: members against the node's pivot, then what doesn't match against all members
-    paired = members.join(sig, "rep").join(pivots, "pivot").select("rep", "pivot", "node", "c", "sig", "pivot_sig")
-    matched = materialize(paired.mapInArrow(lambda it: _pivot_match(it, least), "rep long, pivot long, node long, c long, sig binary, matched boolean"), "members")
-    near = matched.filter("matched AND rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    stray = matched.filter("NOT matched AND c > 2")
-    counts = stray.groupBy("node").agg(F.count(F.lit(1)).alias("strays"))
-    spread = lambda blocks, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), blocks).cast("int")
+    reps = materialize(sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps").withColumnRenamed("k1", "key")
+
+    # 2: nodes of the shortest prefix with two members or more; a set that no other set can be near to takes no part
+    apart = reps.filter(F.col("n") * (den - num) >= num)
+    prefix = lambda t, minima: F.substring("sig", 2 * t * depth + 1, 2 * minima)
+    below = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), prefix(t, used)).alias("node")) for t in range(trees))))
+    nodes = apart.select("key", below.alias("x")).select("key", "x.tree", "x.node")
+    full = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("pivot")).filter("c > 1")
+    is_pivot, chunks = F.col("key") == F.col("pivot"), F.ceil(F.col("c") / chunk)
+    spread = lambda blocks, salt: F.pmod(F.xxhash64("key", F.lit(salt)), blocks).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
+    # a large node is dealt to chunks; its pivot goes to all of them, and first in each
+    mine = F.when(is_pivot, F.sequence(F.lit(0), (chunks - 1).cast("int"))).otherwise(F.array(spread(chunks, 4)))
+    members = nodes.join(full, "node").select("node", "tree", "key", "c", (~is_pivot).alias("turn"), F.explode(mine).alias("chunk"))
+    path = F.expr(f"substring(sig, {2 * depth} * tree + 1, {2 * depth})")
+    tries = members.join(apart.select("key", "sig"), "key").withColumn("path", path).drop("tree").repartition("node", "chunk").sortWithinPartitions("node", "chunk", "turn", "path", "key")
+    matched = materialize(tries.mapInArrow(lambda it: _trie_pass(it, used, least, math.ceil(close * size), chunk), "node long, key long, c long, sig binary, stray boolean, near array<long>"), "members")
+    near = matched.select(F.col("key").alias("a"), F.explode("near").alias("b"))
+    counts = matched.filter("stray").groupBy("node").agg(F.count(F.lit(1)).alias("strays"))
     stray_blocks, member_blocks = F.ceil(F.col("strays") / block), F.ceil(F.col("c") / block)
-    open_ = matched.join(counts, "node").select("node", "rep", "sig", "matched", "c", "strays")
-    cols = ["node", "rep", "sig", "stray_block", "member_block", "is_stray"]
-    as_stray = open_.filter("NOT matched").withColumn("stray_block", spread(stray_blocks, 1)).withColumn("member_block", every(member_blocks)).withColumn("is_stray", F.lit(True))
+    open_ = matched.join(counts, "node").select("node", "key", "sig", "stray", "c", "strays")
+    cols = ["node", "key", "sig", "stray_block", "member_block", "is_stray"]
+    as_stray = open_.filter("stray").withColumn("stray_block", spread(stray_blocks, 1)).withColumn("member_block", every(member_blocks)).withColumn("is_stray", F.lit(True))
     as_member = open_.withColumn("member_block", spread(member_blocks, 2)).withColumn("stray_block", every(stray_blocks)).withColumn("is_stray", F.lit(False))
     group = ["node", "stray_block", "member_block"]
     strays = as_stray.select(*cols).unionByName(as_member.select(*cols)).repartition(*group).sortWithinPartitions(*group)
-    edges = near.unionByName(strays.mapInArrow(lambda it: _stray_edges(it, least), "a long, b long"))
-    families = components(edges)
+    families = components(near.unionByName(strays.mapInArrow(lambda it: _stray_edges(it, least), "a long, b long")))
+    release(matched)
 
-    # 4: exact links within the families
-    known = families.join(reps.select("rep", "copies", "n", "k1", "k2"), families.id == reps.rep).select("rep", F.col("root").alias("family"), "copies", "n", "k1", "k2")
-    known = materialize(known, "families")
+    # 3: exact links within the families
+    known = materialize(families.withColumnRenamed("id", "key").join(reps.drop("sig"), "key").select("key", F.col("root").alias("family"), "rep", "copies", "n", "k2"), "families")
     count = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_size)).cast("int")
     sizes = materialize(known.groupBy("family").agg(count.alias("blocks")), "sizes")
     # blocks are dealt before the texts come: a large family is split as a skewed join, or its size is broadcast where all are few
     dealt = materialize(known.join(sizes, "family").withColumn("block", spread(F.col("blocks"), 3)), "dealt")
     # the same plan at every size: texts are shuffled by id, and a Bloom filter of the members' ids (its size is fixed by
     # Spark's settings) keeps those of all other documents out of the shuffle
-    texts = dealt.filter("copies >= 1").join(source.withColumnRenamed("id", "rep"), "rep")
-    texts = texts.withColumn("other", every(F.col("blocks"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    texts = dealt.filter("copies >= 1").join(source.withColumnRenamed("id", "rep"), "rep").select("family", "block", "blocks", "key", "k2", "copies", "text")
+    grams = texts.mapInArrow(lambda it: _cut(it, n), "family long, block int, blocks int, key long, copies long, grams binary")
+    grams = grams.withColumn("other", every(F.col("blocks"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     cut = ["family", "i", "j"]
-    texts = texts.select(*cut, "block", "rep", "copies", "k1", "k2", "text").repartition(*cut).sortWithinPartitions(*cut)
+    grams = grams.select(*cut, "block", "key", "copies", "grams").repartition(*cut).sortWithinPartitions(*cut)
     with settings(docs.sparkSession, **_BLOOM):
-        links = materialize(texts.mapInArrow(lambda it: _verify(it, n, num, den), "rep long, links long, root long"), "links")
-    classes = components(links.filter("links > 0 AND rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
-
-    own = reps.select("rep", "copies", "k1", "k2")
-    own = own.join(counted, "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    own = own.select("k1", "k2", F.col("rep").alias("rep_id"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        links = materialize(grams.mapInArrow(lambda it: _verify(it, num, den), "key long, links long, root long"), "links")
+    release(sizes, dealt)
+    classes = components(links.filter("links > 0 AND key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "key")
+    low = classes.join(known.select("key", "rep"), "key").groupBy("root").agg(F.min("rep").alias("class_id"))
+    counted = links.groupBy("key").agg(F.sum("links").alias("links"))
+
+    own = reps.select("key", "k2", "rep", "copies").join(counted, "key", "left").join(classes.join(low, "root").select("key", "class_id"), "key", "left")
+    own = own.select(F.col("key").alias("k1"), "k2", F.col("rep").alias("rep_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = sets.select("id", "k1", "k2").join(own, ["k1", "k2"]).select("id", "class_id", "rep_id", "n_links")
     alone = rows.filter("n = 0 OR id IS NULL").select("id", F.col("id").alias("class_id"), F.col("id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone).withColumnRenamed("id", "doc_id")
