@@ -45,6 +45,16 @@ def bit_reverse(v: str | Column) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(_col(v).cast("long")), 32, "0")), 2, 10).cast("long")
 
 
+def bits_before(a: str | Column, b: str | Column, bits: int = 32) -> Column:
+    """Whether ``a`` comes before ``b`` when their bits (32 or 64) are read in reverse order: the lowest bit that differs decides, zero first."""
+    if bits not in (32, 64):
+        raise ValueError(f"32 or 64 bits: {bits}")
+    low = lambda c: _col(c).cast("long") if bits == 64 else _col(c).cast("long").bitwiseAND(0xFFFFFFFF)
+    differ = low(a).bitwiseXOR(low(b))
+    least = -(2**63)  # has no negative
+    return F.when(differ == least, low(b) < 0).otherwise(low(b).bitwiseAND(differ.bitwiseAND(F.when(differ != least, -differ))) != 0)
+
+
 def round_up(n: str | Column, multiple: int) -> Column:
     """``n`` rounded up to a multiple; a multiple of 0 leaves it."""
     n = _col(n).cast("long")

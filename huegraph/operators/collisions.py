@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import KS, WS, hash_value, mask
+from ..functions.columns import KS, WS, equal_colors, hash_value, mask
+from ..runtime import materialize
 
 #: Vertices with more stored neighbours than this are counted by partial sums from all over the cluster.
 HUB = 1_000_000
@@ -29,9 +30,11 @@ def _cells(df: DataFrame, ks: Iterable[int], ws: Iterable[int]) -> DataFrame:
     return df.sparkSession.range(1).select(F.explode(_numbers(ks)).alias("k")).select("k", F.explode(_numbers(ws)).alias("w"))
 
 
-def _every_node(counts: DataFrame, nodes: DataFrame, ks: Iterable[int], ws: Iterable[int], name: str) -> DataFrame:
-    every = nodes.select("id", F.explode(_numbers(ks)).alias("k")).select("id", "k", F.explode(_numbers(ws)).alias("w"))
-    return every.join(counts, ["id", "k", "w"], "left").select("id", "k", "w", F.coalesce(name, F.lit(0)).cast("long").alias(name))
+def _every_node(wide: DataFrame, nodes: DataFrame, ks: Iterable[int], ws: Iterable[int], name: str) -> DataFrame:
+    """``wide`` has an array for each (id, k), a value for each width; every vertex and cell gets a row, after the join."""
+    every = nodes.select("id", F.explode(_numbers(ks)).alias("k")).join(wide, ["id", "k"], "left")
+    cells = F.array(*(F.struct(F.lit(w).alias("w"), F.coalesce(F.get(name, F.lit(i)), F.lit(0)).cast("long").alias(name)) for i, w in enumerate(ws)))
+    return every.select("id", "k", F.explode(cells).alias("c")).select("id", "k", "c.w", f"c.{name}")
 
 
 def _report(counts: DataFrame, name: str, ks: Iterable[int], ws: Iterable[int]) -> DataFrame:
@@ -44,24 +47,29 @@ def _filled(found: DataFrame, ks: Iterable[int], ws: Iterable[int]) -> DataFrame
     return _cells(found, ks, ws).join(F.broadcast(found), ["k", "w"], "left").select("k", "w", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("max", F.lit(0)).cast("long").alias("max"))
 
 
-def d1_nonzero(edges: DataFrame, ks: Iterable[int] = KS, ws: Iterable[int] = WS) -> DataFrame:
-    """(id, k, w, d1) where there is a collision at all.
+def _d1_wide(edges: DataFrame, ks: Iterable[int], ws: list[int]) -> DataFrame:
+    """(id, k, d1), d1 an array with a count for each width.
 
     Hashes are computed at both ends of an edge, no colour table is joined. Widths are nested: an edge that differs
     in the lowest bits differs at every width, so seven of eight rows go before the shuffle.
     """
-    ws = list(ws)
     pairs = edges.filter("src <> dst").select("src", "dst", F.explode(_numbers(ks)).alias("k"))
-    x = hash_value("src", F.col("k")).bitwiseXOR(hash_value("dst", F.col("k"))).bitwiseAND((1 << max(ws)) - 1)
-    near = pairs.select("src", "k", x.alias("x")).filter(F.col("x").bitwiseAND((1 << min(ws)) - 1) == 0)
-    sums = [F.count_if(F.col("x").bitwiseAND((1 << w) - 1) == 0).alias(f"w{w}") for w in ws]
-    wide = near.groupBy(F.col("src").alias("id"), "k").agg(*sums)
-    cells = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.col(f"w{w}").alias("d1")) for w in ws)))
-    return wide.select("id", "k", cells.alias("c")).select("id", "k", "c.w", "c.d1").filter("d1 > 0")
+    a, b = hash_value("src", F.col("k")), hash_value("dst", F.col("k"))
+    near = pairs.select("src", "k", a.alias("a"), b.alias("b")).filter(equal_colors(F.col("a"), F.col("b"), min(ws)))
+    sums = [F.count_if(equal_colors(F.col("a"), F.col("b"), w)).alias(f"w{w}") for w in ws]
+    return near.groupBy(F.col("src").alias("id"), "k").agg(*sums).select("id", "k", F.array(*(f"w{w}" for w in ws)).alias("d1"))
+
+
+def d1_nonzero(edges: DataFrame, ks: Iterable[int] = KS, ws: Iterable[int] = WS) -> DataFrame:
+    """(id, k, w, d1) where there is a collision at all."""
+    ws = list(ws)
+    cells = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.get("d1", F.lit(i)).alias("d1")) for i, w in enumerate(ws))))
+    return _d1_wide(edges, ks, ws).select("id", "k", cells.alias("c")).select("id", "k", "c.w", "c.d1").filter("d1 > 0")
 
 
 def d1_per_node(edges: DataFrame, nodes: DataFrame, ks: Iterable[int] = KS, ws: Iterable[int] = WS) -> DataFrame:
-    return _every_node(d1_nonzero(edges, ks, ws), nodes, ks, ws, "d1")
+    ws = list(ws)
+    return _every_node(_d1_wide(edges, ks, ws), nodes, ks, ws, "d1")
 
 
 def d1_collisions(edges: DataFrame, ks: Iterable[int] = KS, ws: Iterable[int] = WS) -> DataFrame:
@@ -117,8 +125,8 @@ def _whole_vertices(batches, least: int = 200_000) -> Iterator[tuple[np.ndarray,
 
 
 def _sorted_classes(near: DataFrame, ks: list[int], ws: list[int], totals: bool) -> DataFrame:
-    """As ``_largest_class``, by a sort of each vertex's neighbours; with ``totals`` one row for each (k, w) of every run of rows:
-    the sum and the maximum of d2."""
+    """(id, k, d2), d2 an array with the largest class less one for each width, by a sort of each vertex's neighbours; with ``totals`` one row
+    for each (k, w) of every run of rows: the sum and the maximum of d2."""
     cell_k, cell_w = np.repeat(ks, len(ws)).astype(np.int32), np.tile(ws, len(ks)).astype(np.int32)
 
     def count(batches) -> Iterator[pa.RecordBatch]:
@@ -127,19 +135,18 @@ def _sorted_classes(near: DataFrame, ks: list[int], ws: list[int], totals: bool)
             d2 = sizes.reshape(len(names), -1) - 1
             if totals:
                 yield pa.RecordBatch.from_arrays([pa.array(cell_k), pa.array(cell_w), pa.array(d2.sum(0)), pa.array(d2.max(0))], names=["k", "w", "total", "max"])
-            else:
-                at, cell = np.nonzero(d2)
-                for i in range(0, len(at), 1_000_000):
-                    own = slice(i, i + 1_000_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at[own]]), pa.array(cell_k[cell[own]]), pa.array(cell_w[cell[own]]), pa.array(d2[at[own], cell[own]])], names=["id", "k", "w", "d2"])
+            else:  # a row for each vertex and parameter, its widths as an array
+                wide = pa.ListArray.from_arrays(np.arange(0, d2.size + 1, len(ws), dtype=np.int32), pa.array(d2.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, len(ks))), pa.array(np.tile(np.array(ks, np.int32), len(names))), wide], names=["id", "k", "d2"])
 
     placed = near.select(F.col("id").cast("long"), F.col("v").cast("long")).repartition("id").sortWithinPartitions("id")
-    return placed.mapInArrow(count, "k int, w int, total long, max long" if totals else "id long, k int, w int, d2 long")
+    return placed.mapInArrow(count, "k int, w int, total long, max long" if totals else "id long, k int, d2 array<long>")
 
 
 def _closed(edges: DataFrame, hub: int) -> tuple[DataFrame, DataFrame | None]:
     """``(id, v)`` of all closed neighbourhoods, and apart those of hubs, if there are any."""
-    own = edges.filter("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("v"))
+    # written once: the search for hubs and the count read it
+    own = materialize(edges.filter("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("v")), "edges")
     degree = own.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     hubs = degree.filter(F.col("n") > hub).select("id")
     near = own.unionByName(degree.select("id", F.col("id").alias("v")))
@@ -148,19 +155,29 @@ def _closed(edges: DataFrame, hub: int) -> tuple[DataFrame, DataFrame | None]:
     return near.join(hubs, "id", "left_anti"), near.join(hubs, "id", "left_semi")
 
 
-def d2_nonzero(edges: DataFrame, ks: Iterable[int] = KS, ws: Iterable[int] = WS, hub: int = HUB) -> DataFrame:
-    """(id, k, w, d2) where there is a collision at all; only vertices with a neighbour can have one.
+def _d2_wide(edges: DataFrame, ks: list[int], ws: list[int], hub: int) -> DataFrame:
+    """(id, k, d2), d2 an array with a count for each width; only vertices with a neighbour can have one.
 
     The stored edges are shuffled once, by vertex, and each vertex's neighbours sorted for every parameter. Hubs take a
     second branch, where partial counts of classes are shuffled instead of neighbours.
     """
     few, many = _closed(edges, hub)
-    out = _sorted_classes(few, list(ks), list(ws), False)
-    return out if many is None else out.unionByName(_largest_class(many, ks, ws))
+    out = _sorted_classes(few, ks, ws, False)
+    if many is None:
+        return out
+    cells = _largest_class(many, ks, ws).groupBy("id", "k").agg(*(F.max(F.when(F.col("w") == w, F.col("d2"))).alias(f"w{w}") for w in ws))
+    return out.unionByName(cells.select("id", "k", F.array(*(F.coalesce(f"w{w}", F.lit(0)).cast("long") for w in ws)).alias("d2")))
+
+
+def d2_nonzero(edges: DataFrame, ks: Iterable[int] = KS, ws: Iterable[int] = WS, hub: int = HUB) -> DataFrame:
+    """(id, k, w, d2) where there is a collision at all."""
+    ws = list(ws)
+    cells = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.get("d2", F.lit(i)).alias("d2")) for i, w in enumerate(ws))))
+    return _d2_wide(edges, list(ks), ws, hub).select("id", "k", cells.alias("c")).select("id", "k", "c.w", "c.d2").filter("d2 > 0")
 
 
-def d2_per_node(edges: DataFrame, nodes: DataFrame, ks: Iterable[int] = KS, ws: Iterable[int] = WS) -> DataFrame:
-    return _every_node(d2_nonzero(edges, ks, ws), nodes, ks, ws, "d2")
+def d2_per_node(edges: DataFrame, nodes: DataFrame, ks: Iterable[int] = KS, ws: Iterable[int] = WS, hub: int = HUB) -> DataFrame:
+    return _every_node(_d2_wide(edges, list(ks), list(ws), hub), nodes, ks, list(ws), "d2")
 
 
 def d2_collisions(edges: DataFrame, ks: Iterable[int] = KS, ws: Iterable[int] = WS, hub: int = HUB) -> DataFrame:

@@ -25,8 +25,9 @@ def spmv(edges: DataFrame, x: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
-def permute_matrix(edges: DataFrame, perm: DataFrame) -> DataFrame:
-    """Rows and columns renamed by ``perm(old, new)``."""
+def permute_matrix(edges: DataFrame, perm: DataFrame, precision: str = "double") -> DataFrame:
+    """Rows and columns renamed by ``perm(old, new)``, values in ``double`` or ``float``."""
+    edges = with_precision(edges, precision)
     rows = perm.select(F.col("old").alias("src"), F.col("new").alias("new_src"))
     cols = perm.select(F.col("old").alias("dst"), F.col("new").alias("new_dst"))
     return edges.join(rows, "src").join(cols, "dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), "val")
@@ -36,17 +37,17 @@ def inverse(perm: DataFrame) -> DataFrame:
     return perm.select(F.col("new").alias("old"), F.col("old").alias("new"))
 
 
-def unpermute_matrix(edges: DataFrame, perm: DataFrame) -> DataFrame:
-    return permute_matrix(edges, inverse(perm))
+def unpermute_matrix(edges: DataFrame, perm: DataFrame, precision: str = "double") -> DataFrame:
+    return permute_matrix(edges, inverse(perm), precision)
 
 
-def permute_vector(x: DataFrame, perm: DataFrame) -> DataFrame:
-    """``x(id, x)`` with ids renamed by ``perm(old, new)``."""
-    return x.join(perm.select(F.col("old").alias("id"), "new"), "id").select(F.col("new").alias("id"), "x")
+def permute_vector(x: DataFrame, perm: DataFrame, precision: str = "double") -> DataFrame:
+    """``x(id, x)`` with ids renamed by ``perm(old, new)``, values in ``double`` or ``float``."""
+    return with_precision(x, precision, "x").join(perm.select(F.col("old").alias("id"), "new"), "id").select(F.col("new").alias("id"), "x")
 
 
-def unpermute_vector(x: DataFrame, perm: DataFrame) -> DataFrame:
-    return permute_vector(x, inverse(perm))
+def unpermute_vector(x: DataFrame, perm: DataFrame, precision: str = "double") -> DataFrame:
+    return permute_vector(x, inverse(perm), precision)
 
 
 def compare(solution: DataFrame, reference: DataFrame) -> DataFrame:
@@ -67,6 +68,12 @@ def compare(solution: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
+def durations(blocks: DataFrame, start: str = "start", stop: str = "stop") -> DataFrame:
+    """One row: least, greatest and mean duration of blocks of work, as ``stop - start`` (numbers). Blocks without one of both do not count."""
+    d = F.col(stop) - F.col(start)
+    return blocks.agg(F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"))
+
+
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``degree`` of every vertex: its stored entries, the diagonal included."""
     counts = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))

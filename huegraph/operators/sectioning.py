@@ -1,25 +1,25 @@
-"""Partitions of layered graphs: votes of neighbours under a capacity, a balanced cut, and independent layers of a
-triangular matrix.
+"""Partitions of layered graphs: votes of neighbours under a capacity, balanced cuts, whole tilings in one call, and independent layers
+of a triangular matrix.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, release
 from .linalg import prefix_sum
+from .tiling import border_first, border_offsets, coarsen, layer_major, redundancy, strongest, tile_starts
 
-#: Weights of edges for a cut: inside a layer, to a fixed neighbour layer, to others (fixed values).
-WEIGHT_LAYER, WEIGHT_FIXED, WEIGHT_OTHER = 2, 2, 1
-
-
-def _capacity(nodes: int, tiles: int) -> int:
-    return math.ceil(nodes / tiles)
+#: Weights of edges for the cut of a layer: an end has no tile yet, both are in one tile, both are in different tiles (fixed values).
+WEIGHT_OPEN, WEIGHT_SAME, WEIGHT_DIFFERENT = 2, 2, 1
+#: How far a tile of such a cut may be above its share, in thousandths (fixed value).
+SLACK = 111
 
 
 def _in_parts(nodes: DataFrame, count: int, tiles: int) -> DataFrame:
@@ -30,34 +30,52 @@ def _in_parts(nodes: DataFrame, count: int, tiles: int) -> DataFrame:
     return ranked.select("id", tile.cast("long").alias("tile"))
 
 
-def balanced_partition(edges: DataFrame, nodes: DataFrame, tiles: int, rounds: int = 3, slack: float = 0.03) -> DataFrame:
-    """``(id, tile)``: ``tiles`` parts of equal size (up to ``slack``) with few edges between them.
-
-    Starts from equal shares of consecutive ids; in every round vertices that have more neighbours in another part
-    move there, best gains first, as far as both sizes allow. Half of the vertices (by a hash) may move in a round, so that
-    neighbours don't change places.
+def _filled(nodes: DataFrame, fixed: DataFrame, count: int, tiles: int, most: int) -> DataFrame:
+    """``(id, tile)`` of all vertices: ``fixed`` ones (as far as ``most`` allows, by id) where they are, the others in order of their ids where
+    there is room below equal shares, then below ``most``."""
+    sizes = fixed.withColumn("room", F.lit(most))
+    kept = materialize(strongest(sizes, ["tile"], [F.col("id")], "room").select("id", "tile"), "fixed")
+    low, more = divmod(count, tiles)
+    every = nodes.sparkSession.range(tiles).select(F.col("id").alias("tile"), (F.lit(low) + (F.col("id") < more).cast("int")).alias("share"))
+    held = every.join(kept.groupBy("tile").agg(F.count(F.lit(1)).alias("n")), "tile", "left").select("tile", "share", F.coalesce("n", F.lit(0)).alias("n"))
+    # rooms of each tile: below its share, and behind all of those up to ``most``
+    early, late = F.greatest(F.col("share") - F.col("n"), F.lit(0)), F.lit(most) - F.greatest("share", "n")
+    runs = held.select("tile", F.explode(F.array(F.struct(F.lit(0).alias("late"), early.alias("c")), F.struct(F.lit(1).alias("late"), late.alias("c")))).alias("r")).select("tile", "r.late", "r.c").filter("c > 0")
+    before = Window.orderBy("late", "tile").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select("late", "tile", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("from"), "c")  # two rows a tile
+    ranked = starts.select("tile", F.explode(F.expr("sequence(`from` + 1, `from` + c)")).alias("rank"))
+    free = prefix_sum(nodes.join(kept, "id", "left_anti").select("id", F.lit(1).alias("one")), "one", "rank").select("id", "rank")
+    return kept.unionByName(free.join(ranked, "rank").select("id", "tile"))
+
+
+def balanced_partition(edges: DataFrame, nodes: DataFrame, tiles: int, rounds: int = 3, slack: float = 0.03, fixed: DataFrame | None = None) -> DataFrame:
+    """``(id, tile)``: ``tiles`` parts of equal size (up to ``slack``) with few edges between them; edges may have a ``weight``.
+
+    Starts from equal shares of consecutive ids, or from the tiles of ``fixed(id, tile)``; in every round vertices that have more
+    neighbours in another part move there, best gains first, as far as both sizes allow. Half of the vertices (by a hash) may move in a
+    round, so that neighbours don't change places.
     """
     count = nodes.count()
     if count < tiles:
         raise ValueError("fewer vertices than tiles")
-    most, least = math.ceil(count / tiles * (1 + slack)), math.floor(count / tiles * (1 - slack))
-    now = materialize(_in_parts(nodes, count, tiles), "parts")
-    links = edges.filter("src <> dst").select(F.col("src").alias("id"), "dst")
+    most, least = max(math.ceil(count / tiles), math.floor(count / tiles * (1 + slack))), min(count // tiles, math.ceil(count / tiles * (1 - slack)))
+    now = materialize(_in_parts(nodes, count, tiles) if fixed is None else _filled(nodes, fixed, count, tiles, most), "parts")
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1)
+    links = edges.filter("src <> dst").select(F.col("src").alias("id"), "dst", weight.alias("weight"))
     for r in range(rounds):
         far = now.select(F.col("id").alias("dst"), F.col("tile").alias("to"))
-        votes = links.join(far, "dst").groupBy("id", "to").agg(F.count(F.lit(1)).alias("n"))
+        votes = links.join(far, "dst").groupBy("id", "to").agg(F.sum("weight").alias("n"))
         own = votes.join(now, "id").groupBy("id", "tile")
         best = own.agg(F.max(F.when(F.col("to") != F.col("tile"), F.struct("n", (-F.col("to")).alias("t")))).alias("b"), F.sum(F.when(F.col("to") == F.col("tile"), F.col("n"))).alias("here"))
         gain = F.col("b.n") - F.coalesce("here", F.lit(0))
         moves = best.filter(F.col("b").isNotNull()).select("id", "tile", (-F.col("b.t")).alias("to"), gain.alias("gain")).filter(F.col("gain") > 0).filter(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0)
         sizes = now.groupBy("tile").agg(F.count(F.lit(1)).alias("size"))
-        into = Window.partitionBy("to").orderBy(F.desc("gain"), "id")
-        out = Window.partitionBy("tile").orderBy(F.desc("gain"), "id")
         room = sizes.select(F.col("tile").alias("to"), (most - F.col("size")).alias("room"))
         spare = sizes.select("tile", (F.col("size") - least).alias("spare"))
-        ranked = moves.join(room, "to").join(spare, "tile").withColumn("i", F.row_number().over(into)).withColumn("o", F.row_number().over(out))
-        taken = ranked.filter("i <= room AND o <= spare").select("id", "to")
-        now = materialize(now.join(taken, "id", "left").select("id", F.coalesce("to", "tile").alias("tile")), "parts")
+        order = [F.desc("gain"), F.col("id")]
+        taken = strongest(strongest(moves.join(room, "to").join(spare, "tile"), ["to"], order, "room"), ["tile"], order, "spare").select("id", "to")
+        last, now = now, materialize(now.join(taken, "id", "left").select("id", F.coalesce("to", "tile").alias("tile")), "parts")
+        release(last)
     return now
 
 
@@ -70,41 +88,55 @@ def cut_size(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return cut.join(F.broadcast(sizes))  # one row and one row
 
 
-def preassigned(edges: DataFrame, layers: DataFrame, done: DataFrame, layer: int, neighbour: int) -> DataFrame:
-    """``(id, tile)`` of the vertices of ``layer`` whose neighbours in ``neighbour`` are all in one tile."""
-    here = layers.filter(F.col("layer") == layer).select(F.col("id").alias("src"))
-    there = done.join(layers.filter(F.col("layer") == neighbour), "id").select(F.col("id").alias("dst"), "tile")
-    seen = edges.join(here, "src").join(there, "dst").groupBy(F.col("src").alias("id")).agg(F.min("tile").alias("tile"), F.max("tile").alias("other"))
+def preassigned(links: DataFrame, done: DataFrame, layer: int, neighbour: int) -> DataFrame:
+    """``(id, tile)`` of the vertices of ``layer`` whose neighbours in the layer ``neighbour`` are all in one tile. ``links``: see ``layer_links``."""
+    seen = links.filter((F.col("la") == layer) & (F.col("lb") == neighbour)).join(done.select(F.col("id").alias("dst"), "tile"), "dst")
+    seen = seen.groupBy(F.col("src").alias("id")).agg(F.min("tile").alias("tile"), F.max("tile").alias("other"))
     return seen.filter("tile = other").select("id", "tile")
 
 
-def edge_weights(edges: DataFrame, layers: DataFrame, fixed: DataFrame) -> DataFrame:
-    """``edges`` with ``weight`` for a cut: 2 inside a layer, 2 to a vertex that has its tile, else 1."""
+def edge_weights(links: DataFrame, fixed: DataFrame, layer: int) -> DataFrame:
+    """``(src, dst, weight)`` of the edges inside ``layer``, the diagonal left out: 2 where an end has no tile in ``fixed`` yet or both ends
+    have the same, 1 where they have different ones."""
+    inside = links.filter((F.col("la") == layer) & (F.col("lb") == layer) & (F.col("src") != F.col("dst")))
+    a = fixed.select(F.col("id").alias("src"), F.col("tile").alias("ta"))
+    b = fixed.select(F.col("id").alias("dst"), F.col("tile").alias("tb"))
+    weight = F.when(F.col("ta").isNull() | F.col("tb").isNull(), WEIGHT_OPEN).when(F.col("ta") == F.col("tb"), WEIGHT_SAME).otherwise(WEIGHT_DIFFERENT)
+    return inside.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", weight.alias("weight"))
+
+
+def layer_links(edges: DataFrame, layers: DataFrame) -> DataFrame:
+    """``(src, dst, la, lb)``: edges inside layers and between adjacent ones, written once in a folder for each layer of ``src``, so that
+    the work on a layer reads its own edges only."""
     a = layers.select(F.col("id").alias("src"), F.col("layer").alias("la"))
     b = layers.select(F.col("id").alias("dst"), F.col("layer").alias("lb"))
-    f = fixed.select(F.col("id").alias("dst"), F.lit(True).alias("set"))
-    weight = F.when(F.col("la") == F.col("lb"), WEIGHT_LAYER).when(F.col("set"), WEIGHT_FIXED).otherwise(WEIGHT_OTHER)
-    return edges.join(a, "src").join(b, "dst").join(f, "dst", "left").select("src", "dst", weight.alias("weight"))
+    near = edges.select("src", "dst").join(a, "src").join(b, "dst").filter(F.abs(F.col("la") - F.col("lb")) <= 1).select("src", "dst", "lb", "la")
+    return materialize(near.repartition("la", F.pmod(F.xxhash64("src"), F.lit(16))), "links", by="la")
 
 
-def _vote_round(edges: DataFrame, layers: DataFrame, done: DataFrame, members: DataFrame, layer: int, most: int, both: bool, side: int) -> DataFrame:
-    """``(id, tile)`` of a round: unassigned ``members`` vote for tiles with room by links to neighbour layers, then by
+def _vote_round(links: DataFrame, done: DataFrame, members: DataFrame, layer: int, most: int, sides: list[int]) -> DataFrame:
+    """``(id, tile)`` of a round: unassigned ``members`` vote for tiles with room in this layer by their links to the layers at ``sides``, then by
     links inside the layer; only a unique winner counts; a tile takes its strongest votes first."""
     sizes = done.join(members.select("id"), "id", "left_semi").groupBy("tile").agg(F.count(F.lit(1)).alias("size"))
-    open_ = done.join(sizes, "tile", "left").select("id", "tile", F.coalesce("size", F.lit(0)).alias("size")).filter(F.col("size") < most)
-    near = open_.join(layers, "id").select(F.col("id").alias("dst"), "tile", "layer", "size")
+    open_ = done.join(sizes, "tile", "left").select(F.col("id").alias("dst"), "tile", (most - F.coalesce("size", F.lit(0))).alias("room")).filter("room > 0")
     free = members.join(done, "id", "left_anti").select(F.col("id").alias("src"), "pos")
-    distance = F.col("layer") - layer
-    direct = F.abs(distance) == 1 if both else distance == side
-    votes = edges.filter("src <> dst").join(free, "src").join(near, "dst").groupBy("src", "pos", "tile", "size").agg(F.count_if(direct).alias("direct"), F.count_if(distance == 0).alias("inside")).filter("direct > 0 OR inside > 0")
+    own = links.filter((F.col("la") == layer) & F.col("lb").isin([layer, *(layer + s for s in sides)]) & (F.col("src") != F.col("dst")))
+    votes = own.join(free, "src").join(open_, "dst").groupBy("src", "pos", "tile", "room").agg(F.count_if(F.col("lb") != layer).alias("direct"), F.count_if(F.col("lb") == layer).alias("inside"))
     rank = Window.partitionBy("src").orderBy(F.desc("direct"), F.desc("inside"))
     tops = votes.withColumn("r", F.rank().over(rank)).filter("r = 1").withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("src")))
-    winner = tops.filter("same = 1")
-    strongest = Window.partitionBy("tile").orderBy(F.desc("direct"), F.desc("pos"))
-    return winner.withColumn("i", F.row_number().over(strongest)).filter(F.col("i") <= most - F.col("size")).select(F.col("src").alias("id"), "tile")
+    return strongest(tops.filter("same = 1"), ["tile"], [F.desc("direct"), F.desc("pos")], "room").select(F.col("src").alias("id"), "tile")
 
 
-def _leftover(edges: DataFrame, members: DataFrame, done: DataFrame, tiles: int, most: int) -> DataFrame:
+def _voted(links: DataFrame, done: DataFrame, members: DataFrame, layer: int, most: int, sides: list[int]) -> DataFrame:
+    """``done`` with what rounds of votes add, until no vote decides."""
+    while True:
+        new = materialize(_vote_round(links, done, members, layer, most, sides), "votes")
+        if new.isEmpty():
+            return done
+        done = materialize(done.unionByName(new), "done")
+
+
+def _leftover(links: DataFrame, layer: int, members: DataFrame, done: DataFrame, tiles: int, most: int) -> DataFrame:
     """``(id, tile)`` of the members that no vote decided: one after the other to the tile with most links inside the
     layer, else the smallest tile, unassigned neighbours of the layer along with it as far as there is room.
 
@@ -112,8 +144,9 @@ def _leftover(edges: DataFrame, members: DataFrame, done: DataFrame, tiles: int,
     """
     rest = members.join(done, "id", "left_anti")
     own = members.join(done, "id", "left")
-    links = edges.filter("src <> dst").join(rest.select(F.col("id").alias("src")), "src").join(members.select(F.col("id").alias("dst")), "dst").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("near"))
-    rows = own.join(links, "id", "left").select("id", "pos", "tile", "near")
+    inside = links.filter((F.col("la") == layer) & (F.col("lb") == layer) & (F.col("src") != F.col("dst")))
+    near = inside.join(rest.select(F.col("id").alias("src")), "src").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("near"))
+    rows = own.join(near, "id", "left").select("id", "pos", "tile", "near")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -137,32 +170,101 @@ def _leftover(edges: DataFrame, members: DataFrame, done: DataFrame, tiles: int,
     return rows.groupBy().applyInPandas(assign, "id long, tile long")
 
 
-def section_layers(edges: DataFrame, layers: DataFrame, tiles: int) -> DataFrame:
-    """``(id, layer, tile, pos)`` for ``layers(id, layer)``: the largest layer is cut into balanced parts, the layers on both
-    sides of it follow outwards, each by votes for the tiles of the layer before it, until no vote decides.
+class _Start(NamedTuple):
+    placed: DataFrame  # (id, layer, pos)
+    links: DataFrame
+    order: list[int]
+    first: int
+    most: int
+    done: DataFrame  # (id, tile) of the first layer
 
-    No tile of a layer exceeds its share, rounded up. The driver walks over the layers; all votes are distributed.
-    """
+
+def _largest_layer(edges: DataFrame, layers: DataFrame, tiles: int) -> _Start:
+    """The largest layer (the first of equals) cut into balanced parts, the size of the largest of which is the capacity everywhere."""
     placed = materialize(layers.withColumn("pos", F.row_number().over(Window.partitionBy("layer").orderBy("id")) - 1), "layers")
     count = {r.layer: r.n for r in placed.groupBy("layer").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a layer
     order = sorted(count)
+    if order != list(range(order[0], order[0] + len(order))):
+        raise ValueError("layers must be numbered without gaps")
     first = max(order, key=lambda x: (count[x], -x))
-    members = placed.filter(F.col("layer") == first)
-    inner = edges.join(members.select(F.col("id").alias("src")), "src", "left_semi").join(members.select(F.col("id").alias("dst")), "dst", "left_semi")
-    done = balanced_partition(inner, members.select("id"), min(tiles, count[first]), slack=0.0)
+    links = layer_links(edges, placed)
+    members = placed.filter(F.col("layer") == first).select("id")
+    inner = links.filter((F.col("la") == first) & (F.col("lb") == first))
+    done = balanced_partition(inner, members, min(tiles, count[first]), slack=0.001)
+    most = done.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return _Start(placed, links, order, first, most, done)
+
+
+def section_layers(edges: DataFrame, layers: DataFrame, tiles: int) -> DataFrame:
+    """``(id, layer, tile, pos)`` for ``layers(id, layer)``: the largest layer is cut into balanced parts, the layers on both
+    sides of it follow outwards. A layer first votes by its links to the layer before it; when the layer behind it has done so too, what is left
+    votes by its links to both, and what is still left joins one by one.
+
+    No tile of any layer exceeds the largest tile of the largest layer. The driver walks over the layers; all votes are distributed, and
+    read the edges of their layer only.
+    """
+    placed, links, order, first, most, done = _largest_layer(edges, layers, tiles)
+    for side, path in ((1, [x for x in reversed(order) if x < first]), (-1, [x for x in order if x > first])):
+        for i, layer in enumerate(path):
+            members = placed.filter(F.col("layer") == layer)
+            if i == 0:
+                done = _voted(links, done, members, layer, most, [side])
+            if i + 1 < len(path):
+                later = path[i + 1]
+                done = _voted(links, done, placed.filter(F.col("layer") == later), later, most, [side])
+            done = _voted(links, done, members, layer, most, [-1, 1])
+            done = materialize(done.unionByName(_leftover(links, layer, members, done, tiles, most)), "done")
+    return placed.join(done, "id").select("id", "layer", "tile", "pos")
+
+
+def cut_layers(edges: DataFrame, layers: DataFrame, tiles: int) -> DataFrame:
+    """``(id, layer, tile, pos)`` as ``section_layers``, by balanced cuts: in every layer the vertices whose neighbours in the layer before are all
+    in one tile start there, edges inside the layer are weighed by it, and the layer is cut by these weights, up to ``SLACK`` thousandths above
+    equal shares."""
+    placed, links, order, first, _, done = _largest_layer(edges, layers, tiles)
     for side, path in ((1, [x for x in reversed(order) if x < first]), (-1, [x for x in order if x > first])):
         for layer in path:
-            members, most = placed.filter(F.col("layer") == layer), _capacity(count[layer], tiles)
-            near = placed.filter(F.abs(F.col("layer") - layer) <= 1).select("id", "layer")
-            while True:
-                new = materialize(_vote_round(edges, near, done, members, layer, most, False, side), "votes")
-                if new.isEmpty():
-                    break
-                done = materialize(done.unionByName(new), "done")
-            done = materialize(done.unionByName(_leftover(edges, members, done, tiles, most)), "done")
+            members = placed.filter(F.col("layer") == layer).select("id")
+            fixed = materialize(preassigned(links, done, layer, layer + side), "fixed")
+            parts = balanced_partition(edge_weights(links, fixed, layer), members, min(tiles, members.count()), slack=SLACK / 1000, fixed=fixed)
+            done = materialize(done.unionByName(parts), "done")
     return placed.join(done, "id").select("id", "layer", "tile", "pos")
 
 
+class Tiling(NamedTuple):
+    """A whole tiling: ``assigned(id, layer, tile, pos)`` after merging layers, ``order(id, new_pos)`` tile by tile with border vertices first,
+    ``starts(tile, layer, start, nodes)``, ``offsets(tile, layer, offset)`` of the first vertex without neighbours in other tiles, the
+    ``report`` of redundant entries, and the capacity ``most``."""
+
+    assigned: DataFrame
+    order: DataFrame
+    starts: DataFrame
+    offsets: DataFrame
+    report: DataFrame
+    most: int
+
+
+def tile_graph(edges: DataFrame, layers: DataFrame, tiles: int, method: str = "votes", merge: bool = True) -> Tiling:
+    """Tiles of a layered graph in one call: assignment by ``votes`` (``section_layers``) or by the ``cut`` (``cut_layers``), layers merged as far as
+    no tile exceeds the largest one (``merge``), and the order, starts, offsets and report of the result."""
+    if method not in ("votes", "cut"):
+        raise ValueError(f"votes or cut: {method}")
+    found = materialize((section_layers if method == "votes" else cut_layers)(edges, layers, tiles), "assigned")
+    most = found.groupBy("layer", "tile").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    # places over all layers, so that merged layers stay in order
+    assigned = layer_major(found).select("id", "layer", "tile", F.col("new_pos").alias("pos"))
+    if merge:
+        assigned = assigned.join(coarsen(found, most), "layer").select("id", F.col("new_layer").alias("layer"), "tile", "pos")
+    assigned = materialize(assigned, "assigned")
+    order = border_first(edges, assigned).select("id", "new_pos")
+    return Tiling(assigned, order, tile_starts(assigned), border_offsets(edges, assigned), redundancy(edges, assigned), most)
+
+
+def simple_tiling(edges: DataFrame, nodes: DataFrame, tiles: int) -> Tiling:
+    """All vertices as one layer, by a balanced cut."""
+    return tile_graph(edges, nodes.select("id", F.lit(0).alias("layer")), tiles, "cut")
+
+
 def triangular_layers(edges: DataFrame, nodes: DataFrame, tiles: int | None = None) -> DataFrame:
     """``(id, layer, tile)`` for a lower-triangular matrix: within a layer no row of a tile uses a column that another tile
     of the layer holds or uses, so that the tiles of a layer are independent.

@@ -5,13 +5,17 @@ An assignment is ``(id, layer, tile, pos)``: the vertex's layer (slice), its til
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import TILE_COSTS, Cost
+from ..runtime import materialize
 from .linalg import degrees, prefix_sum
 
 BUDGET = 65_536
@@ -37,57 +41,110 @@ class _Slope:
         if at[4] - at[0] != self.even + self.odd:
             raise ValueError("the cost is not linear in pairs of rows")
 
-    def __call__(self, rows: int, cols: int) -> int:
+    def __call__(self, rows, cols):
+        """Of numbers or arrays of them."""
         return self.fixed + cols * self.entry + rows // 2 * self.even + rows % 2 * self.odd
 
 
-def greedy_tiles(edges: DataFrame, nodes: DataFrame, variant: str = "d1", budget: int = BUDGET, cost: Cost | None = None) -> DataFrame:
+def _jumps(degree: np.ndarray, own: int, size: _Slope, budget: int) -> np.ndarray:
+    """For each of the first ``own`` rows as the first of a tile the row behind its last: the greatest that fits, by bisection."""
+    upto = np.r_[0, np.cumsum(degree)]
+    first = np.arange(own)
+    fits, past = first + 1, np.full(own, len(degree) + 1)  # a row alone always fits
+    while (past - fits > 1).any():
+        mid = (fits + past) // 2
+        ok = size(mid - first, upto[mid] - upto[first]) <= budget
+        fits, past = np.where(ok, mid, fits), np.where(ok, past, mid)
+    return fits
+
+
+def greedy_tiles(edges: DataFrame, nodes: DataFrame, variant: str = "d1", budget: int = BUDGET, cost: Cost | None = None, by_row: DataFrame | None = None, block: int = 65_536) -> DataFrame:
     """``(tile, lo, hi)``: as many consecutive rows as fit the budget, tile after tile; the last tile ends at the last row.
 
     ``variant`` names a cost of ``TILE_COSTS``; ``cost`` is one of your own, linear in entries and pairs of rows. A row that alone exceeds the
-    budget raises. Where a tile ends depends on all tiles before it, so one task reads the degrees (a number for each vertex, not the
-    edges), one range of ids after the other, as a stream, and keeps two numbers.
+    budget raises. ``by_row``: the degrees, where they are known. Ids are dense, from 0.
+
+    Where a tile ends depends on all tiles before it, but in a block of rows little depends on where its first tile begins: every block
+    finds, for each row that may be the first of one, the row behind the last tile that begins in the block, and the number of its tiles. Both are
+    step functions of few steps; the driver walks from block to block (some steps for each ``block`` rows), and all blocks cut their tiles at once.
+    A block also reads as many rows behind it as a tile may have.
     """
     if cost is None and variant not in TILE_COSTS:
         raise ValueError(f"unknown variant: {variant}")
-    spark, by_row = edges.sparkSession, degrees(edges, nodes)
-    top = by_row.agg(F.max("degree")).first()[0]
+    spark = edges.sparkSession
+    by_row = materialize(degrees(edges, nodes), "degrees") if by_row is None else by_row
+    top, n = by_row.agg(F.max("degree"), F.count(F.lit(1))).first()
     size = _Slope(spark, cost or TILE_COSTS[variant], top or 0)
     if top is not None and size(1, top) > budget:
         raise ValueError("a row does not fit the budget; a larger one is needed for this matrix")
-
-    def cut(batches) -> Iterator[pa.RecordBatch]:
-        lo = rows = cols = seen = tile = 0
-        for batch in batches:
-            out = []
-            for d in batch.column("degree").to_pylist():
-                rows, cols, seen = rows + 1, cols + d, seen + 1
-                if size(rows, cols) > budget:
-                    out.append((tile, lo, seen - 1))
-                    tile, lo, rows, cols = tile + 1, seen - 1, 1, d
-            yield _tiles(out)
-        if rows:
-            yield _tiles([(tile, lo, seen)])
-
-    return by_row.sort("id").select("degree").coalesce(1).mapInArrow(cut, "tile long, lo long, hi long")
-
-
-def _tiles(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["tile", "lo", "hi"])
+    halo = int(_jumps(np.zeros(min(n, budget), np.int64), 1, size, budget)[0]) if n else 0
+    block = max(block, halo)
+    home = F.expr(f"id div {block}")
+    shown = F.when((F.col("id") % block < halo) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
+    placed = by_row.select("id", "degree", F.explode(shown).alias("block"))
+
+    def jumps(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
+        pdf = pdf.sort_values("id")
+        start = int(pdf["block"].iloc[0]) * block
+        return start, _jumps(pdf["degree"].to_numpy(), min(block, n - start), size, budget)
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, jump = jumps(pdf)
+        out, count = jump.copy(), np.ones(len(jump), np.int64)
+        while (inside := out < len(jump)).any():
+            count[inside], out[inside] = count[inside] + count[out[inside]], out[out[inside]]
+        out, count = out[: max(1, halo)], count[: max(1, halo)]
+        at = np.flatnonzero(np.r_[True, (out[1:] != out[:-1]) | (count[1:] != count[:-1])])
+        return pd.DataFrame({"block": start // block, "entry": start + at, "exit": start + out[at], "count": count[at]})
+
+    known: dict[int, list] = {}
+    for r in placed.groupBy("block").applyInPandas(steps, "block long, entry long, exit long, count long").collect():
+        known.setdefault(r.block, []).append((r["entry"], r["exit"], r["count"]))
+    row, tile, entries = 0, 0, []
+    for b in sorted(known):
+        if row >= min(n, (b + 1) * block):
+            continue
+        entries.append((b, row, tile))
+        own = sorted(known[b])
+        _, row, more = own[bisect_right(own, (row, n + 1, 0)) - 1]
+        tile += more
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, jump = jumps(pdf)
+        row, tile, out = int(pdf["row"].iloc[0]) - start, int(pdf["tile"].iloc[0]), []
+        while row < len(jump):
+            out.append((tile, start + row, start + int(jump[row])))
+            row, tile = int(jump[row]), tile + 1
+        return pd.DataFrame(out, columns=["tile", "lo", "hi"]).astype("int64")
+
+    begin = spark.createDataFrame(entries, "block long, row long, tile long")  # a row for each block
+    return placed.join(F.broadcast(begin), "block").groupBy("block").applyInPandas(cut, "tile long, lo long, hi long")
+
+
+def tile_sizes(tiles: DataFrame, edges: DataFrame, nodes: DataFrame, by_row: DataFrame | None = None) -> DataFrame:
+    """``(tile, nodes, edges)`` of tiles of consecutive rows. ``by_row``: the degrees, where they are known."""
+    by_row = materialize(degrees(edges, nodes), "degrees") if by_row is None else by_row
+    sums = prefix_sum(by_row, "degree", "upto").select((F.col("id") + 1).alias("row"), "upto")
+    ends = tiles.select("tile", F.explode(F.array("lo", "hi")).alias("row")).join(sums, "row", "left").select("tile", "row", F.coalesce("upto", F.lit(0)).alias("upto"))
+    return ends.groupBy("tile").agg((F.max("row") - F.min("row")).alias("nodes"), (F.max("upto") - F.min("upto")).alias("edges"))
+
+
+def tile_stats(tiles: DataFrame, edges: DataFrame, nodes: DataFrame, by_row: DataFrame | None = None) -> DataFrame:
+    """One row: tiles, the most nodes and edges of any, and nodes and edges of the biggest (the last of equals)."""
+    biggest = F.max_by(F.struct("nodes", "edges"), F.struct((F.col("nodes") + F.col("edges")).alias("s"), "tile"))
+    got = tile_sizes(tiles, edges, nodes, by_row).agg(F.count(F.lit(1)).alias("tiles"), F.max("nodes").alias("max_nodes"), F.max("edges").alias("max_edges"), biggest.alias("b"))
+    return got.select("tiles", "max_nodes", "max_edges", F.col("b.nodes").alias("biggest_nodes"), F.col("b.edges").alias("biggest_edges"))
 
 
-def tile_sizes(tiles: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(tile, nodes, edges)`` of tiles of consecutive rows."""
-    sums = prefix_sum(degrees(edges, nodes), "degree", "upto").select((F.col("id") + 1).alias("row"), "upto")
-    at = lambda side: tiles.join(sums.withColumnRenamed("row", side).withColumnRenamed("upto", f"e_{side}"), side, "left").select("tile", F.coalesce(f"e_{side}", F.lit(0)).alias(f"e_{side}"))
-    return tiles.join(at("lo"), "tile").join(at("hi"), "tile").select("tile", (F.col("hi") - F.col("lo")).alias("nodes"), (F.col("e_hi") - F.col("e_lo")).alias("edges"))
+def share_stats(sizes: DataFrame, size: str = "nodes") -> DataFrame:
+    """One row on the tiles of a comparison: their number, and the least, average and greatest size."""
+    return sizes.agg(F.count(F.lit(1)).alias("tiles"), F.min(size).alias("min_tile"), F.avg(size).alias("avg_tile"), F.max(size).alias("max_tile"))
 
 
-def tile_stats(tiles: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: tiles, the most nodes and edges of any, and nodes and edges of the biggest (the last of equals)."""
-    biggest = F.max_by(F.struct("nodes", "edges"), F.struct((F.col("nodes") + F.col("edges")).alias("s"), "tile"))
-    got = tile_sizes(tiles, edges, nodes).agg(F.count(F.lit(1)).alias("tiles"), F.max("nodes").alias("max_nodes"), F.max("edges").alias("max_edges"), biggest.alias("b"))
-    return got.select("tiles", "max_nodes", "max_edges", F.col("b.nodes").alias("biggest_nodes"), F.col("b.edges").alias("biggest_edges"))
+def strongest(votes: DataFrame, group: list[str], order: list, room: str) -> DataFrame:
+    """Of each group its first rows by ``order``, as many as the column ``room`` says: the cut at a capacity."""
+    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return votes.withColumn("__i", at).filter(F.col("__i") <= F.col(room)).drop("__i")
 
 
 def tile_view(edges: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -189,7 +246,7 @@ def coarsen(assigned: DataFrame, most: int, end_at_first: bool = True) -> DataFr
     Whether a layer joins depends on all layers before it: one task reads the sizes of tiles, in order, as a
     stream and keeps those of the layer that is growing. Its rows are layers times tiles, not vertices.
     """
-    sizes = assigned.groupBy("layer", "tile").agg(F.count(F.lit(1)).alias("n")).sort("layer", "tile").coalesce(1)
+    sizes = assigned.groupBy("layer", "tile").agg(F.count(F.lit(1)).alias("n")).repartition(1).sortWithinPartitions("layer", "tile")
 
     def fold(batches) -> Iterator[pa.RecordBatch]:
         open_: dict[int, int] = {}

@@ -150,3 +150,42 @@ SELECT layer, new_layer FROM t"""
 
 ORACLE_SQL["coarsen_layers"] = _coarsen(f"p_partkey % {TILES}", MERGE, True)
 ORACLE_SQL["coarsen_single"] = _coarsen("0", 4 * MERGE, False)
+
+_LOW = f"WITH {_GRAPH}, n AS (SELECT count(*) AS n FROM part), low AS (SELECT src, dst, CAST(src * 3 + dst AS DOUBLE) AS val FROM edges WHERE src > dst)"
+_CORNER = "SELECT n - 1, n - 1, 7.0::DOUBLE FROM n"
+_LAYER_OF = f"lay AS (SELECT p_partkey AS id, p_size % {LAYERS} AS layer FROM part)"
+_PLACED = "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS above FROM part"
+_TILED = "SELECT count(*) AS nodes, count(*) AS placed, " + ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("doubled", "outside", "wrong_offsets", "above")) + " FROM part"
+
+
+def _bits_before(a: str, b: str, bits: int) -> str:
+    reverse = lambda v: f"reverse(lpad(bin({v}), {bits}, '0'))"
+    return f"{reverse(a)} < {reverse(b)}"
+
+
+ORACLE_SQL |= {
+    "mtx_symmetric": f"{_LOW} SELECT src, dst, val FROM low UNION ALL SELECT dst, src, val FROM low UNION ALL {_CORNER}",
+    "mtx_skew": f"{_LOW} SELECT src, dst, val FROM low UNION ALL SELECT dst, src, -val FROM low UNION ALL {_CORNER}",
+    "mtx_pattern": f"{_LOW} SELECT src, dst, 1.0::DOUBLE AS val FROM low UNION ALL SELECT dst, src, 1.0::DOUBLE FROM low",
+    "mtx_out_of_range": f"{_LOW} SELECT src, dst, val FROM low UNION ALL {_CORNER}",
+    "tile_view": f"WITH RECURSIVE {_tiles('d1')} SELECT src, dst FROM edges, t WHERE tile = 1 AND src >= lo AND src < hi",
+    "single_offsets": f"WITH {_ASSIGNED}, s AS (SELECT layer, count(*) AS n FROM a GROUP BY 1) SELECT CAST(0 AS INT) AS tile, layer, CAST(sum(n) OVER (ORDER BY layer) - n AS BIGINT) AS \"offset\" FROM s",
+    "redundancy_single": "SELECT 0.0::DOUBLE AS avg_edges, 0.0::DOUBLE AS min_edges, 0.0::DOUBLE AS max_edges, 0.0::DOUBLE AS nodes",
+    "bits_order": f"SELECT l_orderkey, l_linenumber, {_bits_before('l_partkey', 'l_suppkey', 32)} AS before32, {_bits_before('l_partkey * 4294967296 + l_linenumber', 'l_suppkey * 4294967296 + l_linenumber', 64)} AS before64 FROM lineitem",
+    "duration_stats": "WITH b AS (SELECT user_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS d FROM events GROUP BY 1) SELECT min(d) AS min, max(d) AS max, round(avg(d), 3) AS mean FROM b",
+    "compare_tiles": f"WITH {_ASSIGNED}, s AS (SELECT tile, count(*) AS n FROM a GROUP BY 1) SELECT count(*) AS tiles, min(n) AS min_tile, round(avg(n), 6) AS avg_tile, max(n) AS max_tile FROM s",
+    "matrix_permute_float": f"WITH {_GRAPH}, {_PERM} SELECT p.new AS src, q.new AS dst, CAST(CAST(CAST(src * 3 + dst AS DOUBLE) / 10 AS FLOAT) AS DOUBLE) AS val FROM edges JOIN perm p ON p.old = src JOIN perm q ON q.old = dst",
+    "capacity_cut": f"WITH {_GRAPH}, {_DEGREE}, r AS (SELECT id, id % {TILES} AS tile, degree, row_number() OVER (PARTITION BY id % {TILES} ORDER BY degree DESC, id DESC) AS i FROM deg) SELECT id, tile, degree FROM r WHERE i <= 10",
+    "sectioning": _PLACED,
+    "cut_layers": _PLACED,
+    "cut_weights": f"""WITH {_GRAPH}, {_LAYER_OF}, done AS (SELECT id, id // 16 % 8 AS tile FROM lay WHERE layer = 2 AND id % 16 < 8),
+fixed AS (SELECT src AS id, min(d.tile) AS tile FROM edges JOIN lay x ON x.id = src JOIN done d ON d.id = dst WHERE x.layer = 1 GROUP BY src HAVING min(d.tile) = max(d.tile)),
+w AS (SELECT CASE WHEN p.tile IS NULL OR q.tile IS NULL OR p.tile = q.tile THEN 2 ELSE 1 END AS weight
+  FROM edges JOIN lay x ON x.id = src JOIN lay y ON y.id = dst LEFT JOIN fixed p ON p.id = src LEFT JOIN fixed q ON q.id = dst WHERE x.layer = 1 AND y.layer = 1)
+SELECT weight, count(*) AS n FROM w GROUP BY weight UNION ALL SELECT 0, count(*) FROM fixed""",
+    "tile_graph": _TILED,
+    "simple_tiling": _TILED,
+    "triangular_layers": "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS conflicts FROM part",
+    "balanced_partition": f"SELECT count(*) AS nodes, CAST({TILES} AS BIGINT) AS tiles, TRUE AS balanced, TRUE AS no_worse FROM part",
+    "proper_coloring": "SELECT count(*) AS colored, CAST(0 AS BIGINT) AS conflicts FROM part",
+}

@@ -34,13 +34,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the program ends."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
     atexit.register(_remove, spark, path)
-    out = spark.read.parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors. ``by``: a column whose values get folders of
+    their own, so that a filter on it reads no others."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if by else spark.read.parquet(path)
     out._stage = path
     return out
 

@@ -62,6 +62,26 @@ def test_round_trip(spark, tmp_path):
     assert rows(read_matrix_market(spark, str(tmp_path / "out.mtx"))[0]) == rows(edges)
 
 
+def test_parts_are_read_by_name_whatever_their_sizes(spark, tmp_path):
+    folder = tmp_path / "parts.mtx"
+    folder.mkdir()
+    entries = [(i, j) for i in range(60) for j in range(60)]
+    cuts = [0, 1, 40, 700, 3600]
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        head = "%%MatrixMarket matrix coordinate real general\n60 60 3600\n" if k == 0 else ""
+        (folder / f"part-{k:05}").write_text(head + "".join(f"{i + 1} {j + 1} {i + j}\n" for i, j in entries[lo:hi]))
+    (folder / "_SUCCESS").write_text("")
+    assert read_header(spark, str(folder)).entries == 3600
+    assert rows(read_matrix_market(spark, str(folder))[0]) == [(i, j, float(i + j)) for i, j in entries]
+
+
+def test_round_trip_over_many_files(spark, tmp_path):
+    edges = spark.range(5000).selectExpr("id % 71 as src", "id div 71 as dst", "cast(id as double) as val")
+    write_matrix_market(edges, str(tmp_path / "many.mtx"), 71, 71, per_file=600)
+    assert len(list((tmp_path / "many.mtx").glob("part-*"))) > 4
+    assert rows(read_matrix_market(spark, str(tmp_path / "many.mtx"))[0]) == rows(edges)
+
+
 def test_catalog_loads_once(spark, tmp_path):
     put(tmp_path, "1 1 1\n1 1 1\n", "af_shell3.mtx")
     catalog = Catalog(spark, str(tmp_path))

@@ -106,7 +106,8 @@ def test_orders(spark):
     rows, assigned = assignment(spark)
     for f, key in ((tiling.layer_major, lambda r: (r[1], r[2], r[3])), (tiling.tile_major, lambda r: (r[2], r[1], r[3]))):
         assert {r.id: r.new_pos for r in f(assigned).collect()} == {r[0]: i for i, r in enumerate(sorted(rows, key=key))}
-    assert tiling.single_offsets(assigned).count() == tiling.tile_starts(assigned).count()
+    starts = {(r.tile, r.layer): r.start for r in tiling.tile_starts(assigned).collect()}
+    assert {(r.tile, r.layer): r.offset for r in tiling.single_offsets(assigned).collect()} == starts
 
 
 def test_coarsening(spark):
@@ -148,12 +149,59 @@ def test_sectioning_respects_capacity_and_layers(spark):
 
 
 def test_preassignment_and_weights(spark):
-    layers = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)], "id long, layer int")
+    layers = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (5, 1), (6, 1)], "id long, layer int")
     done = spark.createDataFrame([(0, 5), (1, 6)], "id long, tile long")
-    edges = spark.createDataFrame([(2, 0), (2, 0), (3, 0), (3, 1), (2, 3), (2, 4)], "src long, dst long")
-    assert [tuple(r) for r in sectioning.preassigned(edges, layers, done, 1, 0).collect()] == [(2, 5)]
-    got = sorted(tuple(r) for r in sectioning.edge_weights(edges, layers, done).collect())
-    assert got == [(2, 0, 2), (2, 0, 2), (2, 3, 2), (2, 4, 1), (3, 0, 2), (3, 1, 2)]
+    edges = spark.createDataFrame([(2, 0), (2, 0), (3, 0), (3, 1), (2, 3), (2, 4), (5, 1), (6, 0), (2, 5), (2, 6), (2, 2)], "src long, dst long")
+    links = sectioning.layer_links(edges, layers)
+    fixed = sectioning.preassigned(links, done, 1, 0)
+    assert sorted(tuple(r) for r in fixed.collect()) == [(2, 5), (5, 6), (6, 5)]
+    got = sorted(tuple(r) for r in sectioning.edge_weights(links, fixed, 1).collect())
+    assert got == [(2, 3, 2), (2, 5, 1), (2, 6, 2)]  # inside the layer and off the diagonal only
+
+
+def test_fixed_tiles_start_the_cut(spark):
+    edges, nodes = grid(spark, 4, 4, 2)
+    fixed = spark.createDataFrame([(i, 0) for i in range(20)] + [(31, 2)], "id long, tile long")
+    got = {r.id: r.tile for r in sectioning.balanced_partition(edges, nodes, 4, rounds=0, slack=0.111, fixed=fixed).collect()}
+    sizes = [list(got.values()).count(t) for t in range(4)]
+    assert sorted(got) == list(range(32)) and max(sizes) <= 8 and all(got[i] == 0 for i in range(8)) and got[31] == 2
+
+
+@pytest.mark.parametrize("method", ["votes", "cut"])
+def test_whole_tiling(spark, method):
+    edges, nodes = grid(spark, 5, 4, 6)
+    layers = nodes.selectExpr("id", "cast(id div 20 as int) as layer")
+    made = sectioning.tile_graph(edges, layers, 3, method)
+    rows = {r.id: (r.tile, r.layer, r.pos) for r in made.assigned.collect()}
+    order = {r.id: r.new_pos for r in made.order.collect()}
+    assert sorted(rows) == list(range(120)) and sorted(order.values()) == list(range(120))
+    out = {r.src for r in edges.collect() if rows[r.src][0] != rows[r.dst][0]}
+    at = 0
+    for r in sorted(made.starts.collect(), key=lambda r: (r.tile, r.layer)):
+        own = sorted((i for i in rows if rows[i][:2] == (r.tile, r.layer)), key=lambda i: rows[i][2])
+        want = [i for i in own if i in out] + [i for i in own if i not in out][::-1]
+        assert (r.start, r.nodes) == (at, len(own)) and [order[i] for i in want] == list(range(at, at + len(own)))
+        at += len(own)
+    offsets = {(r.tile, r.layer): r.offset for r in made.offsets.collect()}
+    assert len(offsets) == made.starts.count() and made.report.count() == 1
+    with pytest.raises(ValueError):
+        sectioning.tile_graph(edges, layers, 3, "other")
+
+
+def test_one_layer(spark):
+    edges, nodes = grid(spark, 4, 4, 2)
+    made = sectioning.simple_tiling(edges, nodes, 4)
+    assert {r.layer for r in made.assigned.collect()} == {0} and made.most == 8
+    assert sorted(r.new_pos for r in made.order.collect()) == list(range(32))
+
+
+def test_greedy_blocks_equal_a_loop(spark):
+    rng = random.Random(8)
+    degree = [rng.choice([0, 1, 3, 9]) for _ in range(700)]
+    edges = spark.createDataFrame([(i, j) for i, d in enumerate(degree) for j in range(d)], "src long, dst long")
+    for budget in (60, 200, 4000):
+        got = sorted(tuple(r)[1:] for r in tiling.greedy_tiles(edges, spark.range(700), "d1", budget, block=16).collect())
+        assert got == greedy(degree, COSTS["d1"], budget)
 
 
 @pytest.mark.parametrize("tiles", [None, 3])
