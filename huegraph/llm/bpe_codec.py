@@ -4,6 +4,8 @@ A pair of bytes that stands next to each other inside no vocabulary token can ne
 merge: between such bytes the text is cut for certain. White space and the borders of the model's
 pre-tokens are such cuts, and inside a pre-token every impossible pair is one. The fragments are encoded
 independently and the ids put behind each other. Each worker keeps a bounded cache of chunks.
+
+Decoding knows nothing of the text: it looks the ids up in the vocabulary.
 """
 
 from __future__ import annotations
@@ -11,13 +13,14 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, resolve_vocabulary, text_batches, with_columns
+from .common import fields, fresh_name, resolve_vocabulary, text_batches, with_columns
 
 MODEL = "word_bpe_49k.json"
 
@@ -61,20 +64,20 @@ class Codec:
         cuts = [i + 1 for i in range(len(word) - 1) if (word[i], word[i + 1]) not in self.joined]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        """Ids and tokens of one pre-token in the vocabulary's alphabet."""
+    def _word(self, word: str) -> bytes:
+        """Ids (as bytes of int32) of one pre-token in the vocabulary's alphabet."""
         made = self.words.get(word)
         if made is None:
             *inner, last = self.fragments(word)
             found = [t for f in inner for t in self.inner.tokenize(f)] + self.last.tokenize(last)
-            made = array("i", [t.id for t in found]).tobytes(), " ".join([t.value for t in found])
+            made = array("i", [t.id for t in found]).tobytes()
             if len(word) <= 64:
                 if len(self.words) >= self.most:
                     self.words.clear()
                 self.words[word] = made
         return made
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> list[bytes]:
         if self.simple(text):
             words = self.words_of(text.lower())
             if not (text.isascii() and text.isprintable()):
@@ -82,32 +85,37 @@ class Codec:
             return [self._word(w) for w in words]
         return [self._word(w) for w, _ in self.split(self.normalize(text))]
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (as bytes of int32) and decoded text of a run without spaces and line feeds."""
-        parts: list[tuple[bytes, str]] = []
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a run without spaces and line feeds."""
+        parts: list[bytes] = []
         for part in self.special_re.split(chunk) if self.special_re and "<" in chunk else [chunk]:
             if part in self.special:
-                parts.append((array("i", [self.special[part]]).tobytes(), part))
+                parts.append(array("i", [self.special[part]]).tobytes())
             elif part:
                 parts += self._plain(part)
-        made = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+        made = parts[0] if len(parts) == 1 else b"".join(parts)
         if len(chunk) <= 64:
             if len(self.chunks) >= self.most:
                 self.chunks.clear()
             self.chunks[chunk] = made
         return made
 
-    def encode(self, text: str) -> tuple[bytes, str]:
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, as bytes of int32."""
         known, parts = self.chunks, []
         for c in text.replace("\n", " ").split(" "):
             if c:
-                parts.append(known.get(c) or self.chunk(c))
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
+                made = known.get(c)
+                parts.append(self.chunk(c) if made is None else made)
+        return b"".join(parts)
 
-    def decode(self, ids) -> str:
-        """As the library decodes a vocabulary without decoder: the tokens, one space between them."""
-        names = self.names
-        return " ".join([names[i] for i in ids if i in names])
+    def decode(self, ids: Iterable[int]) -> str:
+        """As the library decodes a vocabulary without decoder: the tokens, one space between them; ids it does not have are left out."""
+        ids = list(ids)
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.names[i] for i in ids if i in self.names])
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -118,20 +126,22 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 def encode_decode(docs: DataFrame, text: str = "text", model: str = MODEL, cache: int = 300_000) -> DataFrame:
-    """Append ``ids`` (array<int>) and ``decoded`` (string), the ids decoded again; ``text`` goes.
+    """Append ``ids`` (array<int>) and ``decoded`` (string), which is decoded from the ids alone; ``text`` goes.
 
-    Null and empty texts: no ids and an empty string. Rows and other columns stay; input columns named
-    ``ids`` or ``decoded`` are replaced. An empty table gives an empty table.
+    Null and empty texts: no ids and an empty string. Rows, repeated ones too, and other columns stay; input columns named
+    ``ids`` or ``decoded`` are replaced. An empty table gives an empty table. Texts of any length are encoded whole; ids and
+    tokens of one are held in memory at once.
     """
     kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
+    given = fresh_name([*kept, "ids", "decoded"])
 
     def coded(batches):
         codec = Codec(model, cache)
-        for batch, texts in text_batches(batches):
-            made = [codec.encode(t or "") for t in texts]
+        for batch, texts in text_batches(batches, name=given):
+            made = [np.frombuffer(codec.encode(t or ""), np.int32) for t in texts]
             offsets = np.zeros(len(made) + 1, np.int32)
-            np.cumsum([len(b) // 4 for b, _ in made], out=offsets[1:])
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join([b for b, _ in made]), np.int32)))
-            yield with_columns(batch, ["text"], ids=ids, decoded=pa.array([d for _, d in made], pa.string()))
+            np.cumsum([len(i) for i in made], out=offsets[1:])
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))
+            yield with_columns(batch, [given], ids=ids, decoded=pa.array([codec.decode(i.tolist()) for i in made], pa.string()))
 
-    return docs.select(*kept, F.col(text).alias("text")).mapInArrow(coded, fields(docs.select(*kept)) + "ids array<int>, decoded string")
+    return docs.select(*kept, F.col(text).alias(given)).mapInArrow(coded, fields(docs.select(*kept)) + "ids array<int>, decoded string")

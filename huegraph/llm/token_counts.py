@@ -3,25 +3,32 @@
 A pre-token is a run of spaces with the word after it, or a line feed and what follows. No vocabulary piece has a space mark behind
 another character, so no merge crosses the start of a pre-token and the counts of pre-tokens add up.
 
-Tier one: the lengths of the most frequent pre-tokens of the whole corpus, broadcast. They are found
-from bounded summaries (at most ``summary_rows`` rows a task); no pre-token of the texts is shuffled.
+Tier one: the lengths of the most frequent pre-tokens of the whole corpus, broadcast. Every task sums up what it sees in one
+bounded summary; summaries are merged in a tree of fixed levels. No pre-token is a key of any shuffle.
 Tier two: what misses is encoded by the library and kept in a bounded cache of the worker.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, resolve_vocabulary, text_batches
+from .common import resolve_vocabulary, text_batches
 
 MODEL = "piece_bpe_32k.model"
 _PRE = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
 _MARK = "▁"
+#: Longer pre-tokens are not counted for tier one.
+LONGEST = 32
+#: Summaries that are left after each merging.
+LEVELS = (1024, 32, 1)
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -69,37 +76,44 @@ class _Lengths(dict):
         return n
 
 
-def frequent_pre_tokens(docs: DataFrame, rows: int, summary_rows: int, text: str = "text") -> list[str]:
-    """The ``rows`` most frequent pre-tokens of at most 32 characters, from summaries of every task.
+def summarize(texts, entries: int, most: int = 200_000) -> list[tuple[str, int]]:
+    """The most frequent pre-tokens of ``texts`` of at most ``LONGEST`` characters, counted in a dictionary of at most ``most`` entries and those
+    of one text: when it is full, the rarest go."""
+    counts: Counter = Counter()
+    least = 1
+    for t in texts:
+        counts.update([p for p in pre_tokens(t or "") if len(p) <= LONGEST])
+        while len(counts) > most:
+            counts = Counter({p: n for p, n in counts.items() if n > least})
+            least += 1
+    return counts.most_common(entries)
 
-    A task counts in a dictionary of bounded size: when it is full, the rarest go. Only the
-    speed of the main pass depends on the result.
-    """
+
+def frequent_pre_tokens(docs: DataFrame, rows: int, summary_rows: int, text: str = "text") -> list[str]:
+    """The ``rows`` most frequent pre-tokens, from a summary of ``summary_rows`` entries of every task. Only the speed of the main pass depends
+    on the result."""
 
     def summaries(batches):
-        counts: Counter = Counter()
-        least = 1
-        for _, texts in text_batches(batches):
-            for t in texts:
-                counts.update(pre_tokens(t or ""))
-                if len(counts) > 200_000:
-                    counts = Counter({p: n for p, n in counts.items() if n > least})
-                    least += 1
-        top = [(p, n) for p, n in counts.most_common(summary_rows) if len(p) <= 32]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["pre", "n"])
-
-    found = docs.select(F.col(text).alias("text")).mapInArrow(summaries, "pre string, n long")
-    found = materialize(found.groupBy("pre").agg(F.sum("n").alias("n")), "pre")
-    # at most 4 * rows entries can have such a share of the total, whatever the number of tasks
-    total = found.agg(F.sum("n")).first()[0] or 0
-    top = found.filter(F.col("n") * (4 * rows) >= total).orderBy(F.desc("n"), "pre").limit(rows)
-    return [r.pre for r in top.collect()]  # bounded: rows x 32 characters
+        top = summarize((t for _, texts in text_batches(batches) for t in texts), summary_rows)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pickle.dumps(top)], pa.binary())], names=["at", "summary"])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        total: Counter = Counter()
+        for part in pdf["summary"]:
+            total.update(dict(pickle.loads(part)))
+        return pd.DataFrame({"at": [int(pdf["at"].iloc[0])], "summary": [pickle.dumps(total.most_common(rows))]})
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(summaries, "at long, summary binary")
+    for left in LEVELS:
+        found = found.withColumn("at", F.pmod("at", F.lit(left))).groupBy("at").applyInPandas(merged, "at long, summary binary")
+    last = found.first()  # one row of at most ``rows`` entries
+    return [p for p, _ in pickle.loads(last.summary)] if last else []
 
 
 def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", model: str = MODEL, frequent: int = 32_768, summary_rows: int = 4_096, cache: int = 300_000) -> DataFrame:
     """Append ``out`` (long): the number of tokens of the whole ``text``, without added tokens.
 
-    Null and empty texts: 0. Rows, repeated ones too, and all other columns stay as they are; an
+    Null and empty texts: 0. Texts of any length count whole. Rows, repeated ones too, and all other columns stay as they are; an
     input column named ``out`` is replaced. An empty table gives an empty table. ``frequent``: size of tier one; 0 does
     without it and its pass over the corpus, the counts are the same. ``model``: name or
     path of a sentencepiece model; the path must be readable on every worker.
@@ -111,15 +125,11 @@ def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", mod
     shared = spark.sparkContext.broadcast(first)  # at most ``frequent`` entries of 32 characters
 
     def counted(texts_iter):
-        import pandas as pd
-
         lengths = _Lengths(shared.value, _load(model), cache)
         for texts in texts_iter:
             yield pd.Series([sum(map(lengths.__getitem__, pre_tokens(t))) if t else 0 for t in texts], dtype="int64")
 
     from collections.abc import Iterator
 
-    import pandas as pd
-
     counted.__annotations__ = {"texts_iter": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn(out, F.pandas_udf(counted, "long")(F.col(text)))
