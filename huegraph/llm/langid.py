@@ -1,6 +1,6 @@
 """Language identification by a byte convolutional network trained in numpy.
 
-Bytes are embedded, filters of widths 2, 3 and 4 move over them in steps of two, the maximum of each filter over
+Bytes are embedded, filters of widths 2, 3 and 4 move over them byte by byte, the maximum of each filter over
 a window of fixed length goes through a rectifier into a softmax over the languages. A text's scores are
 the means of its windows', weighted by their bytes. For inference the embedding and the filters are folded into
 two tables over pairs of bytes, which give the same sums.
@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, bounded_sample, byte_windows, fields, text_batches, with_columns
+from .common import Adam, bounded_sample, byte_windows, fields, fresh_name, text_batches, with_columns
 
-WINDOW, STEP, TAIL = 256, 2, 4
+#: A window's filters read ``TAIL`` bytes of the next one, so that every place of a text has its filters.
+WINDOW, TAIL = 256, 3
 EMBED, WIDTHS = 8, (2,) * 10 + (3,) * 11 + (4,) * 11
 
 
@@ -40,8 +41,8 @@ class ByteConvNet:
         }
 
     def _columns(self, x: np.ndarray) -> np.ndarray:
-        steps = (x.shape[1] - TAIL) // STEP + 1
-        return np.concatenate([self.p["embed"][x[:, k : k + STEP * steps : STEP][:, :steps]] for k in range(4)], axis=2)
+        steps = x.shape[1] - TAIL
+        return np.concatenate([self.p["embed"][x[:, k : k + steps]] for k in range(4)], axis=2)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p, n = self.p, len(x)
@@ -63,12 +64,12 @@ class ByteConvNet:
         dcol = dh[:, :, None] * p["conv"].T[None]
         embed = np.zeros_like(p["embed"])
         for k in range(4):
-            byte = x[np.arange(n)[:, None], at * STEP + k]
+            byte = x[np.arange(n)[:, None], at + k]
             np.add.at(embed, byte.ravel(), dcol[:, :, k * EMBED : (k + 1) * EMBED].reshape(-1, EMBED))
         g["embed"] = embed
         return float(loss), g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteConvNet:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteConvNet:
         rng, adam = np.random.default_rng(seed), Adam(self.p, rate)
         for _ in range(epochs):
             order = rng.permutation(len(x))
@@ -85,13 +86,13 @@ class ByteConvNet:
         return first, (part[2][:, None] + part[3][None]).reshape(65536, -1)
 
     def probabilities(self, x: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        pairs = x[:, 0::2].astype(np.int32) * 256 + x[:, 1::2]
+        pairs = x[:, :-1].astype(np.int32) * 256 + x[:, 1:]
         hidden = np.empty((len(x), len(WIDTHS)), np.float32)
-        for i in range(0, len(x), 32):
-            q = pairs[i : i + 32]
-            s = tables[0][q[:, :-1]]
-            s += tables[1][q[:, 1:]]
-            hidden[i : i + 32] = s.max(1)
+        for i in range(0, len(x), 16):
+            q = pairs[i : i + 16]
+            s = tables[0][q[:, :-2]]
+            s += tables[1][q[:, 2:]]
+            hidden[i : i + 16] = s.max(1)
         return _softmax(np.maximum(hidden, 0) @ self.p["out"] + self.p["out_b"])
 
 
@@ -100,19 +101,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 4_000) -> ByteConvNet | None:
-    """Fit on at most ``sample_rows`` labelled rows (those with the smallest hashed ids), two windows of each. None
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 1_500) -> ByteConvNet | None:
+    """Fit on every window of at most ``sample_rows`` labelled rows (those with the smallest hashed ids), whole texts. None
     where no row is labelled."""
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL")
-    at = lambda salt: F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW))
-    used = known.filter(F.length("text") > 0).select("doc_id", "lang", at(1).alias("a"), at(2).alias("b"))
-    rows = sorted(bounded_sample(used, "doc_id", sample_rows, of=known).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.a))
+    rows = bounded_sample(known.filter(F.length("text") > 0), "doc_id", sample_rows, of=known).collect()
     if not rows:
         return None
+    rows = sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text, r.lang))
     langs = sorted({r.lang for r in rows})
-    parts = [(p.encode("utf-8", "surrogatepass")[:WINDOW], langs.index(r.lang)) for r in rows for p in (r.a, r.b)]
-    x, _, _ = byte_windows([p for p, _ in parts], WINDOW, TAIL)
-    return ByteConvNet(langs).fit(x, np.array([y for _, y in parts]))
+    x, owner, _ = byte_windows([r.text.encode("utf-8", "surrogatepass") for r in rows], WINDOW, TAIL)
+    return ByteConvNet(langs).fit(x, np.array([langs.index(r.lang) for r in rows])[owner])
 
 
 def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text") -> DataFrame:
@@ -120,16 +119,17 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text") ->
     replaced, all others and all rows stay.
 
     Null text, text without a letter, or no model (nothing to learn from): ``und`` with score 0. Every window of the
-    whole text counts. An empty table gives an empty table.
+    whole text counts, of texts of any length; ties go to the first language by name. Repeated rows stay. An empty table gives an empty table.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    given = fresh_name([*kept, "lang_pred", "score"])
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # a few thousand numbers
     usable = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
 
     def predicted(batches) -> Iterator[pa.RecordBatch]:
         net: ByteConvNet | None = pickle.loads(packed.value)
         tables = net.tables() if net else None
-        for batch, texts in text_batches(batches, 1_000_000, "__text"):
+        for batch, texts in text_batches(batches, 1_000_000, given):
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             have = [i for i, t in enumerate(texts) if t is not None] if net else []
             if have:
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text") ->
                 mean = np.add.reduceat(probs, starts) / np.add.reduceat(weight, starts)[:, None]
                 for i, k, s in zip(have, mean.argmax(1), mean.max(1), strict=True):
                     lang[i], score[i] = net.langs[k], min(1.0, float(s))
-            yield with_columns(batch, ["__text"], lang_pred=pa.array(lang), score=pa.array(score))
+            yield with_columns(batch, [given], lang_pred=pa.array(lang), score=pa.array(score))
 
     schema = fields(docs.select(*kept))
-    return docs.select(*kept, usable.alias("__text")).mapInArrow(predicted, schema + "lang_pred string, score double")
+    return docs.select(*kept, usable.alias(given)).mapInArrow(predicted, schema + "lang_pred string, score double")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, bounded_sample, byte_windows, fields, sigmoid, text_batches, with_columns
+from .common import Adam, bounded_sample, byte_windows, fields, fresh_name, one_label, sigmoid, text_batches, with_columns
 
 PASSAGE = 512
 CODE, GATE = 24, 16
@@ -111,8 +111,8 @@ class AttentionMil:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 4_000) -> AttentionMil | None:
     """Fit on at most ``sample_rows`` labelled documents (smallest hashed ids). The driver gets their passages'
-    features, not the texts. None where there are no labels or all are the same."""
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").dropDuplicates(["doc_id"])
+    features, not the texts. Of clashing labels of a document the least counts. None where there are no labels or all are the same."""
+    known = one_label(labels, doc_id, label)
     chosen = F.broadcast(bounded_sample(known, "doc_id", sample_rows))  # ``sample_rows`` pairs of numbers
 
     def described(batches) -> Iterator[pa.RecordBatch]:
@@ -134,19 +134,20 @@ def score_quality(docs: DataFrame, model: AttentionMil | None, text: str = "text
     """Append ``score`` (0 to 1, higher: better), an input column of that name is replaced; ``text`` stays, as do all rows.
 
     Null and empty texts are one empty passage. Without a model every score is 0.5. An empty table gives an
-    empty table. Every passage of the whole text counts.
+    empty table. Every passage of the whole text counts, of texts of any length. Repeated rows stay and score alike.
     """
     kept = [c for c in docs.columns if c != "score"]
+    given = fresh_name([*kept, "score"])
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # a few thousand numbers
 
     def scored(batches) -> Iterator[pa.RecordBatch]:
         mil: AttentionMil | None = pickle.loads(packed.value)
-        for batch, texts in text_batches(batches, 1_000_000, "__text"):
+        for batch, texts in text_batches(batches, 1_000_000, given):
             score = np.full(len(texts), 0.5)
             if mil:
                 f, owner = passage_features([(t or "").encode("utf-8", "surrogatepass") for t in texts])
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 score = mil.forward(f, starts, owner)["score"]
-            yield with_columns(batch, ["__text"], score=pa.array(score, pa.float64()))
+            yield with_columns(batch, [given], score=pa.array(score, pa.float64()))
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(scored, fields(docs.select(*kept)) + "score double")
+    return docs.select(*kept, F.col(text).alias(given)).mapInArrow(scored, fields(docs.select(*kept)) + "score double")

@@ -16,14 +16,14 @@ import math
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fields, sigmoid, text_batches, with_columns
+from .common import bounded_sample, fields, fresh_name, one_label, sigmoid, text_batches, with_columns
 
 #: Letters that a sign of leetspeak stands for (fixed values).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "(": "c", "€": "e"}
@@ -78,13 +78,14 @@ class CharModel:
 
 
 def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Trigram counts of all texts. The driver gets one row for each trigram that occurs, at most alphabet cubed."""
+    """Trigram counts of all texts, each between two boundaries on either side, so that no trigram spans two texts. The driver gets one row
+    for each trigram that occurs, at most alphabet cubed."""
     k = int(CharModel.index().max()) + 1
 
     def counted(batches) -> Iterator[pa.RecordBatch]:
         total, model = np.zeros(k**3, np.int64), CharModel()
         for _, texts in text_batches(batches, 1_000_000):
-            c = model.classes("\n".join(["", *(t.lower() for t in texts if t), ""]))
+            c = model.classes("\n\n".join(["", *(t.lower() for t in texts if t), ""]))
             total += np.bincount((c[:-2] * k + c[1:-1]) * k + c[2:], minlength=k**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["t", "n"])
@@ -239,20 +240,41 @@ def least_support(toxic: int, clean: list[set[str]], most: int = 8) -> int:
     return most
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 6_000, sample_chars: int = 8_000) -> ToxicModel:
+class TokenCache(dict):
+    """What ``make`` gives for a token, kept for short tokens, ``most`` of them."""
+
+    def __init__(self, make: Callable[[str], object], most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, token: str):
+        made = self.make(token)
+        if len(token) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[token] = made
+        return made
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 6_000, cache: int = 400_000) -> ToxicModel:
     """The language model of all of ``docs``, and weights from at most ``sample_rows`` labelled documents (smallest
-    hashed ids; of each at most ``sample_chars`` characters). Without labels of both kinds there are no weights."""
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").dropDuplicates(["doc_id"])
-    chosen = F.broadcast(bounded_sample(known, "doc_id", sample_rows))  # ``sample_rows`` pairs of numbers
-    part = F.substring(F.col(text), 1, sample_chars)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), part.alias("t")).filter("t IS NOT NULL").join(chosen, "doc_id").select("doc_id", "t", "y").collect()
+    hashed ids), whole texts. The workers restore them; the driver gets the distinct words of each. Of clashing labels of a document the least
+    counts. Without labels of both kinds there are no weights."""
+    chosen = F.broadcast(bounded_sample(one_label(labels, doc_id, label), "doc_id", sample_rows))  # ``sample_rows`` pairs of numbers
     chars = CharModel(count_trigrams(docs, text))
+    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(chars))  # alphabet cubed
+
+    def restored(batches) -> Iterator[pa.RecordBatch]:
+        own: CharModel = pickle.loads(packed.value)
+        known = TokenCache(lambda token: token_words(token, own), cache)
+        for batch, texts in text_batches(batches, 1_000_000):
+            words = [sorted({w for token in set(text_tokens(t)) for w in known[token]}) for t in texts]
+            yield with_columns(batch, ["text"], words=pa.array(words, pa.list_(pa.string())))
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL").join(chosen, "doc_id").select("doc_id", "y", "text")
+    got = rows.mapInArrow(restored, "doc_id long, y int, words array<string>").collect()
     words: dict[int, list[set[str]]] = {0: [], 1: []}
-    known: dict[str, list[str]] = {}  # the tokens of a bounded sample
-    for r in sorted({(r.doc_id, r.t, r.y) for r in rows}):
-        own = set(text_tokens(r[1]))
-        known |= {token: token_words(token, chars) for token in own if token not in known}
-        words[r[2]].append({w for token in own for w in known[token]})
+    for _, y, own in sorted({(r.doc_id, r.y, tuple(r.words)) for r in got}):
+        words[y].append(set(own))
     toxic = [{f for w in bag for f in word_features(w)} for bag in distinct_bags(words[1])]
     least = least_support(len(toxic), words[0])
     usable = {f for f, n in Counter(f for d in toxic for f in d).items() if n >= least}
@@ -266,28 +288,19 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", cache
     """Append ``score`` (0 to 1, higher: toxic) and ``toxic_hits`` (array of the features found); input columns of these names
     are replaced, all rows and other columns stay.
 
-    The whole text counts. Null and empty texts have no hits: the score of a text without any. An empty
-    table gives an empty table.
+    The whole text counts, of texts and tokens of any length. Null and empty texts have no hits: the score of a text without any. Repeated
+    rows stay and score alike. An empty table gives an empty table.
     """
     kept = [c for c in docs.columns if c not in ("score", "toxic_hits")]
+    given = fresh_name([*kept, "score", "toxic_hits"])
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # alphabet cubed, and features of the bounded sample
 
     def scored(batches) -> Iterator[pa.RecordBatch]:
         own: ToxicModel = pickle.loads(packed.value)
-
-        class Hits(dict):
-            def __missing__(self, token: str) -> tuple[str, ...]:
-                made = own.token_hits(token)
-                if len(token) <= 64:
-                    if len(self) >= cache:
-                        self.clear()
-                    self[token] = made
-                return made
-
-        known = Hits()
-        for batch, texts in text_batches(batches, 1_000_000, "__text"):
+        known = TokenCache(own.token_hits, cache)
+        for batch, texts in text_batches(batches, 1_000_000, given):
             found = [sorted({h for own_hits in filter(None, map(known.__getitem__, text_tokens(t))) for h in own_hits}) if t else [] for t in texts]
             score = [own.score(h) for h in found]
-            yield with_columns(batch, ["__text"], score=pa.array(score, pa.float64()), toxic_hits=pa.array(found, pa.list_(pa.string())))
+            yield with_columns(batch, [given], score=pa.array(score, pa.float64()), toxic_hits=pa.array(found, pa.list_(pa.string())))
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(scored, fields(docs.select(*kept)) + "score double, toxic_hits array<string>")
+    return docs.select(*kept, F.col(text).alias(given)).mapInArrow(scored, fields(docs.select(*kept)) + "score double, toxic_hits array<string>")

@@ -145,6 +145,95 @@ def test_trigrams_equal_a_count(spark):
     assert c[a, b, a] == 1 and c[0, a, b] == 2 and c[a, b, 0] == 2
 
 
+def all_readings(token, model):
+    """Every path through a token's lattice with its log probability."""
+    log, out = model.rows(), [((0, 0), 0.0, "")]
+    for readings, spaced in toxicity.lattice(token):
+        new = []
+        for (a, b), p, s in out:
+            starts = [((a, b), p + toxicity.COST_JOIN, s), ((b, 0), p + toxicity.COST_BREAK + log[a][b][0], s + " ")] if spaced else [((a, b), p, s)]
+            for (x, y), q, t in starts:
+                for ch, cost in readings:
+                    c = model.of(ch) if ch else 0
+                    new.append(((y, c), q + cost + log[x][y][c], t + ch) if ch else ((x, y), q + cost, t))
+        out = new
+    return [(p + log[a][b][0], s) for (a, b), p, s in out]
+
+
+def test_restoration_equals_all_paths(spark):
+    import random
+
+    rng = random.Random(5)
+    chars = toxicity.CharModel(toxicity.count_trigrams(spark.read.parquet(f"{SF}/documents.parquet")))
+    for _ in range(300):
+        token = "".join(rng.choice("aeo10!|($  stl") for _ in range(rng.randint(1, 6))).strip() or "x"
+        token = " ".join(token.split())
+        every = all_readings(token, chars)
+        most = max(p for p, _ in every)
+        assert any(s == toxicity.restore(token, chars) and abs(p - most) < 1e-9 for p, s in every), token
+
+
+def test_trigrams_do_not_depend_on_the_partitions(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(40).cache()
+    one, many = (toxicity.count_trigrams(df.repartition(n)) for n in (1, 7))
+    assert (one == many).all() and one.sum() == sum(len(r.text) + 2 for r in df.collect() if r.text)
+
+
+def test_signs_alone_and_long_runs_are_read(spark):
+    chars = toxicity.CharModel(toxicity.count_trigrams(spark.createDataFrame([("lass loser clown idiot ass",)] * 20, "text string")))
+    for token, word in {"@$$": "ass", "455": "ass", "l" + "o" * 91 + "ser": "loser", "(lown": "clown", "!diot": "idiot", "|oser": "loser"}.items():
+        assert word in toxicity.token_words(token, chars), token
+
+
+def test_clashing_labels_and_names(spark):
+    from huegraph.llm.common import one_label
+
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, None), (None, 1), (4, 7)], "doc_id long, toxic int")
+    assert sorted(tuple(r) for r in one_label(labels, "doc_id", "toxic").collect()) == [(1, 0), (2, 1)]
+    df = spark.createDataFrame([(1, "some words", "x", "x")], "doc_id long, text string, given_text string, Given_Text_ string")
+    model = toxicity.ToxicModel(toxicity.CharModel(), {"words.": 3.0}, -4.0)
+    net = langid.ByteConvNet(["a", "b"])
+    for got, new in ((toxicity.score_toxicity(df, model), ["score", "toxic_hits"]), (langid.identify(df, net), ["lang_pred", "score"]), (quality_mil.score_quality(df, None), ["score"])):
+        assert got.columns == [*df.columns, *new] and got.first().given_text == "x"
+
+
+def plain_language(net, text):
+    """Every filter at every byte of every window, with loops."""
+    data = text.encode()
+    n, total = max(1, -(-len(data) // langid.WINDOW)), np.zeros(len(net.langs))
+    flat = np.zeros(n * langid.WINDOW + langid.TAIL, np.uint8)
+    flat[: len(data)] = np.frombuffer(data, np.uint8)
+    for i in range(n):
+        best = np.full(len(langid.WIDTHS), -np.inf)
+        for j in range(i * langid.WINDOW, (i + 1) * langid.WINDOW):
+            best = np.maximum(best, net.p["embed"][flat[j : j + 4]].ravel() @ net.p["conv"] + net.p["conv_b"])
+        share = min(langid.WINDOW, len(data) - i * langid.WINDOW) / len(data)
+        total += share * langid._softmax(np.maximum(best, 0)[None] @ net.p["out"] + net.p["out_b"])[0]
+    return total
+
+
+def test_language_of_whole_texts_equals_a_plain_version(spark):
+    net = langid.ByteConvNet(["a", "b", "c"], seed=3)
+    texts = ["x", "some words", "é" * 200, "many more words and äöü " * 60, " ".join(str(i) + "w" for i in range(700))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.identify(df, net).collect():
+        want = plain_language(net, texts[r.doc_id])
+        assert r.lang_pred == net.langs[int(want.argmax())] and abs(r.score - want.max()) < 1e-4
+
+
+def test_very_long_texts(spark):
+    text = "plain words of a text that goes on and on. " * 30_000
+    df = spark.createDataFrame([(0, text), (1, text + " tr@sh")], "doc_id long, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.ToxicModel(toxicity.CharModel(toxicity.count_trigrams(docs)), {"trash.": 5.0}, -4.0)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, model).collect()}
+    assert got[0] < 0.1 < 0.9 < got[1]
+    net = langid.train(docs, sample_rows=100)
+    assert {r.lang_pred for r in langid.identify(df, net).collect()} <= set(net.langs)
+    mil = quality_mil.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), sample_rows=100)
+    assert all(0 <= r.score <= 1 for r in quality_mil.score_quality(df, mil).collect())
+
+
 def test_toxic_labels_are_enough_or_none(spark, odd):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     none = toxicity.train(docs, labels.limit(0))
