@@ -16,6 +16,8 @@ from .common import materialize
 
 _SPACE = r"[ \t-\r]+"
 _SYMBOLS = r"[#*$%&|<>]"
+#: Parts that the rows of a host are dealt to for its verdict.
+SALTS = 64
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -83,10 +85,12 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     """One row a document: the rules' counts, ``base_failed``, ``host_rejected`` and ``kept``.
 
     Null text: no words, so the document fails. Null host: no verdict of a host, its own rules alone
-    decide. Repeated rows stay rows and all count for their host. An empty table gives an empty table;
+    decide. Texts of any length count whole, in one row. Repeated rows stay rows and all count for their host. An empty table gives an empty table;
     further columns of the input, whatever their names, are not read.
     """
     own = materialize(document_rules(docs, doc_id, text, host, **rules), "rules")
-    bad = host_rates(own).filter(F.col("rate") > host_limit).select("host", F.lit(True).alias("host_rejected"))
-    out = own.join(bad, "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+    # a host, or those without one, may have a large part of the rows: its verdict stands in every salt
+    bad = host_rates(own).filter(F.col("rate") > host_limit).select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("host_rejected"))
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    out = salted.join(bad, ["host", "salt"], "left").drop("salt").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
