@@ -275,7 +275,7 @@ def _verify(batches, num: int, den: int):
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], names=["key", "links", "root"])
 
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), trees: int = 16, depth: int = 8, recall: float = 0.9995, close: float = 0.98, chunk: int = 65_536, block: int = 1_024, block_size: int = 1_000_000) -> DataFrame:
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), trees: int = 16, depth: int = 8, recall: float = 0.9995, close: float = 0.98, chunk: int = 1_024, block: int = 1_024, block_size: int = 1_000_000) -> DataFrame:
     """One row for each input row: ``doc_id``, ``class_id`` (the smallest id connected to it by links), ``rep_id`` (the
     smallest id with the same n-gram set) and ``n_links``, the number of other rows with a Jaccard index of at least
     ``threshold`` (numerator, denominator).
