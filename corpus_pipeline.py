@@ -18,6 +18,8 @@ from huegraph.llm.token_counts import count_tokens
 #: Documents below these scores go.
 LEAST_QUALITY = 0.3
 LEAST_LANGUAGE = 0.3
+#: Name of a column beside those of documents.
+KEY = "row_key"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +37,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near duplicates the document with the smallest id. Rows without an id stay."""
-    first = ngram_join(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    # one plan for every size: ids against ids, never a broadcast of ids that grow with the corpus
-    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    """Of every class of near duplicates the document with the smallest id, once. Rows are told apart by id and text: those alike in both are
+    one document, those with one id and different texts are several, and those without an id come behind all others of their class."""
+    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    found = ngram_join(keyed.select(F.col(KEY).alias("doc_id"), "text")).select(F.col("doc_id").alias(KEY), "class_id")
+    ids = keyed.select(KEY, "doc_id")
+    named = found.dropDuplicates([KEY]).join(ids.hint("merge"), KEY)
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("m")).select(f"m.{KEY}")
+    # one plan for every size: keys against keys, never a broadcast of what grows with the corpus; rows alike stand together afterwards
+    kept = keyed.join(first.hint("merge"), KEY, "left_semi").dropDuplicates([KEY, "doc_id"])
+    return kept.select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
