@@ -56,10 +56,19 @@ def test_language_stage(spark, docs):
 
 
 def test_near_duplicate_stage(spark, docs):
-    table = [(r.doc_id, r.text) for r in docs.collect()]
-    first = {d for d, c, _ in near_brute(table) if d is not None and d == c}
-    want = sorted((tuple(r) for r in docs.collect() if r.doc_id is None or r.doc_id in first), key=str)
-    assert rows(pipeline.near_duplicates(spark, docs, SF)) == want
+    table = sorted({(r.doc_id, r.text) for r in docs.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    classes = {i: c for i, c, _ in near_brute([(i, t) for i, (_, t) in enumerate(table)])}
+    want = sorted({table[c] for c in classes.values()}, key=str)
+    got = pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == COLUMNS and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == want
+
+
+def test_near_duplicate_stage_tells_rows_apart(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (2, long + " more"), (2, "another text under the same id"), (None, long), (None, "a text without an id"), (None, "a text without an id"), (5, None), (5, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in COLUMNS))
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, df, SF).collect()), key=str)
+    assert got == sorted([(1, long), (2, "another text under the same id"), (None, "a text without an id"), (5, None), (6, "")], key=str)
 
 
 def test_personal_data_stage(spark, docs):
