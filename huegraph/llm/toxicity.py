@@ -16,7 +16,7 @@ import math
 import pickle
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -209,7 +209,7 @@ class ToxicModel:
         return float(sigmoid(own[0] + 0.5 * sum(w for w in own[1:] if w > 0) if own else self.bias))
 
 
-def distinct_bags(bags: list[set[str]], most: float = 0.5) -> list[set[str]]:
+def distinct_bags(bags: Iterable[set[str]], most: float = 0.5) -> list[set[str]]:
     """The bags without near copies of earlier ones (Jaccard index above ``most``), so that copies don't make a feature."""
     kept: list[set[str]] = []
     for bag in bags:
@@ -229,11 +229,14 @@ def select_features(toxic: list[set[str]], clean: list[set[str]], least: int = 8
     return chosen, math.log((bare[0] + 0.5) / (bare[1] + 1))
 
 
-def least_support(toxic: int, clean: list[set[str]], most: int = 8) -> int:
+def least_support(toxic: int, clean: Iterable[set[str]], most: int = 8) -> int:
     """The number of toxic documents a feature needs so that fewer than one word of the clean kind is expected to be
     in so many toxic documents and no other by chance; ``most`` suffices in any case."""
-    odds = toxic / max(1, len(clean))
-    by_support = Counter(Counter(w for d in clean for w in d).values())
+    seen, documents = Counter(), 0
+    for d in clean:
+        seen.update(d)
+        documents += 1
+    odds, by_support = toxic / max(1, documents), Counter(seen.values())
     for k in range(3, most):
         if 3 * sum(n * odds**j for j, n in by_support.items() if j >= k) < 1:
             return k
@@ -267,18 +270,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         own: CharModel = pickle.loads(packed.value)
         known = TokenCache(lambda token: token_words(token, own), cache)
         for batch, texts in text_batches(batches, 1_000_000):
-            words = [sorted({w for token in set(text_tokens(t)) for w in known[token]}) for t in texts]
-            yield with_columns(batch, ["text"], words=pa.array(words, pa.list_(pa.string())))
+            words = [" ".join(sorted({w for token in set(text_tokens(t)) for w in known[token]})) for t in texts]
+            yield with_columns(batch, ["text"], words=pa.array(words, pa.string()))
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL").join(chosen, "doc_id").select("doc_id", "y", "text")
-    got = rows.mapInArrow(restored, "doc_id long, y int, words array<string>").collect()
-    words: dict[int, list[set[str]]] = {0: [], 1: []}
-    for _, y, own in sorted({(r.doc_id, r.y, tuple(r.words)) for r in got}):
-        words[y].append(set(own))
-    toxic = [{f for w in bag for f in word_features(w)} for bag in distinct_bags(words[1])]
-    least = least_support(len(toxic), words[0])
+    # a string a document: words become sets one document at a time
+    got = sorted({(r.doc_id, r.y, r.words) for r in rows.mapInArrow(restored, "doc_id long, y int, words string").collect()})
+    bags = {label: (lambda label=label: (set(words.split()) for _, y, words in got if y == label)) for label in (0, 1)}
+    toxic = [{f for w in bag for f in word_features(w)} for bag in distinct_bags(bags[1]())]
+    least = least_support(len(toxic), bags[0]())
     usable = {f for f, n in Counter(f for d in toxic for f in d).items() if n >= least}
-    clean = [{f for w in bag for f in word_features(w) if f in usable} for bag in words[0]]
+    clean = [{f for w in bag for f in word_features(w) if f in usable} for bag in bags[0]()]
     if not toxic or not clean:
         return ToxicModel(chars, {}, math.log(0.01))
     return ToxicModel(chars, *select_features(toxic, clean, least))
