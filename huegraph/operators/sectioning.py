@@ -316,22 +316,30 @@ def triangular_layers(edges: DataFrame, nodes: DataFrame, tiles: int | None = No
 
 
 def proper_coloring(edges: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
-    """``(id, color)`` without equal colours at the ends of any edge: in every round the vertices whose hash is above
-    those of all uncoloured neighbours take one new colour, and those below all of them another."""
-    both = edges.filter("src <> dst").select("src", "dst").unionByName(edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    key = lambda c: F.struct(F.xxhash64(c, F.lit(seed)), F.col(c))
-    open_ = materialize(both, "links")
-    free = materialize(nodes.select("id"), "free")
-    done, color = None, 0
+    """``(id, color)`` without equal colours at the ends of any edge: in every round each uncoloured vertex draws a colour out of twice as many as
+    it has neighbours, and two more, and keeps it where no neighbour has it, nor an uncoloured one that goes first has drawn it.
+
+    A draw fails with probability 1/2 at most, so the rounds are about the logarithm of the number of vertices, and only edges of
+    vertices without a colour are read again.
+    """
+    off = edges.filter("src <> dst").select("src", "dst")
+    both = materialize(off.unionByName(off.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    degree = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    free = materialize(nodes.select("id").join(degree, "id", "left").select("id", (2 * F.coalesce("degree", F.lit(0)) + 2).alias("palette")), "free")
+    # edges whose first end has no colour yet, with the colour of the second, where it has one
+    open_, done, turn = both.select("src", "dst", F.lit(None).cast("long").alias("color")), None, 0
     while not free.isEmpty():
-        ends = open_.groupBy(F.col("src").alias("id")).agg(F.max(key("dst")).alias("hi"), F.min(key("dst")).alias("lo"))
-        state = free.join(ends, "id", "left")
-        own = key("id")
-        c = F.when(F.col("hi").isNull() | (own > F.col("hi")), color).when(own < F.col("lo"), color + 1)
-        state = materialize(state.select("id", c.alias("color")), "colors")
-        new = state.filter("color IS NOT NULL")
+        first = lambda c, turn=turn: F.xxhash64(c, F.lit(seed + 1), F.lit(turn))
+        drawn = free.select("id", "palette", F.pmod(F.xxhash64("id", F.lit(seed), F.lit(turn)), "palette").alias("drawn"))
+        own, far = drawn.select(F.col("id").alias("src"), F.col("drawn").alias("mine")), drawn.select(F.col("id").alias("dst"), F.col("drawn").alias("theirs"))
+        seen = open_.join(own, "src").join(far, "dst", "left")
+        taken = (F.col("color") == F.col("mine")) | ((F.col("theirs") == F.col("mine")) & (F.struct(first("dst"), "dst") > F.struct(first("src"), "src")))
+        beaten = seen.filter(taken).select(F.col("src").alias("id")).distinct().withColumn("lost", F.lit(True))
+        state = materialize(drawn.join(beaten, "id", "left"), "colors")
+        new = state.filter("lost IS NULL").select("id", F.col("drawn").alias("color"))
         done = new if done is None else done.unionByName(new)
-        free = state.filter("color IS NULL").select("id")
-        open_ = materialize(open_.join(free.select(F.col("id").alias("src")), "src", "left_semi").join(free.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "links")
-        color += 2
-    return done if done is not None else nodes.select("id", F.lit(0).alias("color")).limit(0)
+        free = state.filter("lost").select("id", "palette")
+        known = new.select(F.col("id").alias("dst"), F.col("color").alias("new"))
+        open_ = materialize(open_.join(free.select(F.col("id").alias("src")), "src", "left_semi").join(known, "dst", "left").select("src", "dst", F.coalesce("color", "new").alias("color")), "links")
+        turn += 1
+    return done if done is not None else nodes.select("id", F.lit(0).cast("long").alias("color")).limit(0)
