@@ -221,6 +221,27 @@ def test_language_of_whole_texts_equals_a_plain_version(spark):
         assert r.lang_pred == net.langs[int(want.argmax())] and abs(r.score - want.max()) < 1e-4
 
 
+def test_quality_equals_a_plain_version(spark):
+    import math
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    mil = quality_mil.train(docs, labels, sample_rows=60)
+    texts = ["", "one passage", "words of a text, one after the other. " * 40, "# $ % | " * 300 + "and words " * 200]
+    scored = {r.doc_id: r.score for r in quality_mil.score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), mil).collect()}
+    dot = lambda m, v: [sum(m[i][j] * v[i] for i in range(len(v))) for j in range(len(m[0]))]
+    for i, text in enumerate(texts):
+        codes, weights = [], []
+        for row in quality_mil.passage_features([text.encode()])[0]:
+            f = [max(-8.0, min(8.0, (x - m) / s)) for x, m, s in zip(row.tolist(), mil.mean.tolist(), mil.scale.tolist(), strict=True)]
+            z = [math.tanh(x + b) for x, b in zip(dot(mil.p["enc"], f), mil.p["enc_b"], strict=True)]
+            gate = [math.tanh(a) / (1 + math.exp(-b)) for a, b in zip(dot(mil.p["v"], z), dot(mil.p["u"], z), strict=True)]
+            codes.append(z)
+            weights.append(math.exp(sum(g * w for g, w in zip(gate, mil.p["w"], strict=True))))
+        mean = [sum(w * z[k] for w, z in zip(weights, codes, strict=True)) / sum(weights) for k in range(len(codes[0]))]
+        want = 1 / (1 + math.exp(-sum(m * o for m, o in zip(mean, mil.p["out"], strict=True)) - mil.p["out_b"][0]))
+        assert abs(scored[i] - want) < 1e-6
+
+
 def test_very_long_texts(spark):
     text = "plain words of a text that goes on and on. " * 30_000
     df = spark.createDataFrame([(0, text), (1, text + " tr@sh")], "doc_id long, text string")
