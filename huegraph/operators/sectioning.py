@@ -5,14 +5,18 @@ of a triangular matrix.
 from __future__ import annotations
 
 import math
+import os
+import tempfile
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, release
+from ..runtime import is_stage, materialize, release
 from .linalg import prefix_sum
 from .tiling import border_first, border_offsets, coarsen, layer_major, redundancy, strongest, tile_starts
 
@@ -20,6 +24,8 @@ from .tiling import border_first, border_offsets, coarsen, layer_major, redundan
 WEIGHT_OPEN, WEIGHT_SAME, WEIGHT_DIFFERENT = 2, 2, 1
 #: How far a tile of such a cut may be above its share, in thousandths (fixed value).
 SLACK = 111
+#: Entries of a triangular matrix that are held at once.
+CHUNK = 1 << 19
 
 
 def _in_parts(nodes: DataFrame, count: int, tiles: int) -> DataFrame:
@@ -265,54 +271,162 @@ def simple_tiling(edges: DataFrame, nodes: DataFrame, tiles: int) -> Tiling:
     return tile_graph(edges, nodes.select("id", F.lit(0).alias("layer")), tiles, "cut")
 
 
+class _Triangle:
+    """The entries of a lower-triangular matrix on disk, by row and by column; in memory are a few numbers for each vertex. ``ids`` is sorted, rows
+    and columns are places in it; ``row`` marks the vertices that are rows, others are columns only."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], folder: str):
+        self.folder, nodes = folder, [np.zeros(0, np.int64)]
+        paths = {np.int32: f"{folder}/narrow", np.int64: f"{folder}/wide"}
+        with open(paths[np.int32], "wb") as narrow, open(paths[np.int64], "wb") as wide:
+            for batch in batches:
+                src, dst = batch.columns
+                nodes.append(src.filter(dst.is_null()).to_numpy(zero_copy_only=False))
+                pairs = np.stack([x.filter(dst.is_valid()).to_numpy(zero_copy_only=False) for x in (src, dst)], axis=1)
+                small = np.array_equal(pairs, pairs.astype(np.int32))
+                pairs.astype(np.int32 if small else np.int64).tofile(narrow if small else wide)
+        held, maps = np.unique(np.concatenate(nodes)), [_mapped(path, kind).reshape(-1, 2) for kind, path in paths.items()]
+        del nodes
+        alone = [np.setdiff1d(pairs[:, 1], held) for pairs in _chunks(maps)]
+        self.ids = np.union1d(held, np.unique(np.concatenate(alone))) if any(map(len, alone)) else held
+        self.row = np.isin(self.ids, held)
+        placed = f"{folder}/placed"
+        with open(placed, "wb") as out:
+            for pairs in _chunks(maps):
+                at = np.searchsorted(self.ids, pairs)
+                rows = np.minimum(at[:, 0], len(self.ids) - 1)
+                at[self.row[rows] & (self.ids[rows] == pairs[:, 0]) & (at[:, 0] != at[:, 1])].astype(np.int32).tofile(out)
+            own = np.flatnonzero(self.row).astype(np.int32)  # a row always has its own column, once
+            np.stack([own, own], axis=1).tofile(out)
+        del maps
+        for path in paths.values():
+            os.remove(path)
+        self.by_row, self.by_column = self._grouped(placed, 0), self._grouped(placed, 1)
+        os.remove(placed)
+
+    def _grouped(self, path: str, key: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the entries of each place begin (one more for the end), and their other sides."""
+        placed = _mapped(path, np.int32).reshape(-1, 2)
+        start = np.zeros(len(self.ids) + 1, np.int64)
+        for part in _chunks([placed]):
+            start[1:] += np.bincount(part[:, key], minlength=len(self.ids))
+        np.cumsum(start, out=start)
+        name = f"{self.folder}/{key}"
+        with open(name, "wb") as out:
+            out.truncate(4 * len(placed))
+        other, free = _mapped(name, np.int32, "r+"), start[:-1].copy()
+        for part in _chunks([placed]):
+            part = part[np.argsort(part[:, key], kind="stable")]
+            at, first, n = np.unique(part[:, key], return_index=True, return_counts=True)
+            other[np.repeat(free[at] - first, n) + np.arange(len(part))] = part[:, 1 - key]
+            free[at] += n
+        return start, other
+
+    def layers(self, tiles: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """``layer`` and ``tile`` of every place (-1 where it is no row).
+
+        A row that joins a tile marks the rows that share its columns, so a row is asked once for its columns in all, when it joins, and not
+        once for each layer that it waits.
+        """
+        (row_start, columns), (column_start, rows), n = self.by_row, self.by_column, len(self.ids)
+        layer_of, tile_of = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        free, several = -1, -2  # a row that touches no tile, or more than one
+        touch, mark = np.full(n, -1, np.int32), np.full(n, free, np.int32)  # of columns, of rows
+        left, limit, layer = np.flatnonzero(self.row)[::-1], tiles or n, 0
+
+        def put(i: int, t: int) -> None:
+            layer_of[i], tile_of[i] = layer, t
+            own = columns[row_start[i] : row_start[i + 1]]
+            own = own[touch[own] < 0]
+            touch[own] = t
+            for some in _packs(own, column_start):
+                near = np.concatenate([rows[a:b] for a, b in some])
+                now = mark[near]
+                mark[near] = np.where((now == free) | (now == t), t, several)
+
+        while len(left):
+            touch[: left[0] + 1], mark[: left[0] + 1] = -1, free
+            sizes = 0
+            for i in _asked(left, lambda at: mark[at] == free):
+                put(i, sizes)
+                sizes += 1
+                if sizes == limit:
+                    break
+            limit = sizes if not layer else limit
+            left = left[layer_of[left] < 0]
+            count = np.ones(sizes, np.int64)
+            for i in _asked(left, lambda at: mark[at] != several):
+                t = int(mark[i])
+                t = int(np.argmin(count)) if t == free else t
+                put(i, t)
+                count[t] += 1
+            left, layer = left[layer_of[left] < 0], layer + 1
+        return layer_of, tile_of
+
+
+def _mapped(path: str, kind: type, mode: str = "r") -> np.ndarray:
+    """The numbers in a file, which stay there."""
+    return np.asarray(np.memmap(path, kind, mode)) if os.path.getsize(path) else np.zeros(0, kind)
+
+
+def _chunks(maps: list[np.ndarray]) -> Iterator[np.ndarray]:
+    for pairs in maps:
+        for i in range(0, len(pairs), CHUNK):
+            yield pairs[i : i + CHUNK].astype(np.int64)
+
+
+def _packs(places: np.ndarray, start: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+    """Ranges of entries of ``places``, ``CHUNK`` entries at once at most."""
+    some, held = [], 0
+    for a, b in zip(start[places].tolist(), start[places + 1].tolist(), strict=True):
+        for x in range(a, b, CHUNK):
+            y = min(b, x + CHUNK)
+            if held + y - x > CHUNK:
+                yield some
+                some, held = [], 0
+            some.append((x, y))
+            held += y - x
+    if some:
+        yield some
+
+
+def _asked(left: np.ndarray, fits: Callable[[np.ndarray], np.ndarray]) -> Iterator[int]:
+    """The rows of ``left`` that fit when their turn comes; a row that doesn't fit never will."""
+    i, step = 0, 64
+    while i < len(left):
+        part, taken = left[i : i + step], 0
+        part = part[fits(part)]
+        while len(part):
+            yield int(part[0])
+            taken += 1
+            part = part[1:][fits(part[1:])]
+        i += step
+        step = min(CHUNK, 2 * step) if taken < 8 else max(64, step // 2)
+
+
 def triangular_layers(edges: DataFrame, nodes: DataFrame, tiles: int | None = None) -> DataFrame:
     """``(id, layer, tile)`` for a lower-triangular matrix: within a layer no row of a tile uses a column that another tile
     of the layer holds or uses, so that the tiles of a layer are independent.
 
     Greedy from the last row to the first: the first layer gets a tile for every row that touches no earlier tile, up
     to ``tiles``; a later row joins the only tile it touches, or the smallest where it touches none; rows that
-    touch several tiles wait for the next layer. Every decision depends on those before it: one task, and one row of it for each
-    vertex with its columns.
+    touch several tiles wait for the next layer. Every decision depends on those before it, so one task decides; the entries pass
+    through it into files of its own folder, and it holds a few numbers for each vertex.
     """
-    rows = edges.filter("src >= dst").groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("cols"))
-    rows = nodes.select("id").join(rows, "id", "left")
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ascending=False)
-        cols = {i: {i, *([] if c is None else c)} for i, c in zip(pdf["id"], pdf["cols"], strict=True)}
-        left, made = list(cols), []
-        limit = tiles or len(left)
-        touch: dict[int, int] = {}
-        sizes: list[int] = []
-
-        def put(i: int, t: int, layer: int, touched: dict[int, int], count: list[int]) -> None:
-            if t == len(count):
-                count.append(0)
-            count[t] += 1
-            touched.update(dict.fromkeys(cols[i], t))
-            made.append((i, layer, t))
-
-        rest = []
-        for i in left:
-            if len(sizes) < limit and not any(c in touch for c in cols[i]):
-                put(i, len(sizes), 0, touch, sizes)
-            else:
-                rest.append(i)
-        limit, layer, left = len(sizes), 0, rest
-        while left:
-            rest, next_touch, next_sizes = [], {}, []
-            for i in left:
-                found = {touch[c] for c in cols[i] if c in touch}
-                if len(found) < 2:
-                    put(i, found.pop() if found else int(np.argmin(sizes)), layer, touch, sizes)
-                elif len(next_sizes) < limit and not any(c in next_touch for c in cols[i]):
-                    put(i, len(next_sizes), layer + 1, next_touch, next_sizes)
-                else:
-                    rest.append(i)
-            touch, sizes, layer, left = next_touch, next_sizes, layer + 1, rest
-        return pd.DataFrame(made, columns=["id", "layer", "tile"]).astype("int64")
-
-    return rows.groupBy().applyInPandas(assign, "id long, layer long, tile long")
+    low = (edges if is_stage(edges) else materialize(edges.filter("src >= dst"), "triangle")).filter("src >= dst")  # one task reads what is written
+    alone = materialize(nodes.filter("id IS NOT NULL").select("id"), "nodes")
+    rows = low.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).unionByName(alone.select(F.col("id").cast("long").alias("src"), F.lit(None).cast("long").alias("dst")))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory() as folder:
+            matrix = _Triangle(batches, folder)
+            layer, tile = matrix.layers(tiles)
+        at = np.flatnonzero(matrix.row)
+        for i in range(0, len(at), CHUNK):
+            part = at[i : i + CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int64)) for x in (matrix.ids, layer, tile)], ["id", "layer", "tile"])
+
+    return rows.coalesce(1).mapInArrow(assign, "id long, layer long, tile long")
 
 
 def proper_coloring(edges: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:

@@ -355,9 +355,9 @@ def simple_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triangular_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lower triangle of the part graph in independent layers, checked: vertices, columns that two tiles of a layer use."""
-    edges, nodes = part_graph(spark, sf_dir), part_nodes(spark, sf_dir)
+    edges, nodes = materialize(part_graph(spark, sf_dir).filter("src >= dst"), "edges"), part_nodes(spark, sf_dir)
     found = materialize(sectioning.triangular_layers(edges, nodes, TILES), "found")
-    low = edges.filter("src >= dst").select("src", "dst").unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    low = edges.select("src", "dst").unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")))
     used = low.join(found.withColumnRenamed("id", "src"), "src").groupBy("layer", "dst").agg(F.min("tile").alias("a"), F.max("tile").alias("b"))
     one = nodes.join(found.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.coalesce("n", F.lit(0)) != 1).alias("misplaced"))
     return one.join(F.broadcast(used.agg(F.count_if(F.col("a") != F.col("b")).alias("conflicts"))))  # one row and one row

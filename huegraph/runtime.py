@@ -52,6 +52,11 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def is_stage(df: DataFrame) -> bool:
+    """Whether ``df`` is what ``materialize`` returned, all of it."""
+    return "_stage" in vars(df)
+
+
 def release(*frames: DataFrame) -> None:
     """Remove the files of materialized frames that nothing reads any more."""
     for df in frames:

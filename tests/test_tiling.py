@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from huegraph.functions.columns import TILE_COSTS
@@ -224,3 +227,17 @@ def test_coloring_is_proper(spark):
     assert sorted(got) == list(range(75))
     assert all(got[r.src] != got[r.dst] for r in more.collect() if r.src != r.dst)
     assert sectioning.proper_coloring(more.limit(0), spark.range(0)).collect() == []
+
+
+def test_triangular_layers_hold_no_entries(tmp_path):
+    rng, n, many = np.random.default_rng(5), 1000, 600
+    def batches():
+        yield pa.record_batch([pa.array(np.arange(n)), pa.nulls(n, pa.int64())], ["src", "dst"])
+        for _ in range(many):
+            a, b = rng.integers(0, n, (2, 10_000))
+            yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["src", "dst"])
+    tracemalloc.start()
+    matrix = sectioning._Triangle(batches(), str(tmp_path))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(matrix.by_row[1]) > 5_900_000 and peak < 6_000_000 * 16
