@@ -44,16 +44,18 @@ def crc_mod(column: str | Column, mod: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, over: int = 2, of: DataFrame | None = None) -> DataFrame:
-    """At most ``rows`` rows of ``df``, those with the smallest hash of ``key``: the same rows however the table is
+def bounded_sample(df: DataFrame, key: str, rows: int, over: int = 2, of: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+    """At most ``rows`` rows of ``df`` (of those with ``where``), those with the smallest hash of ``key``: the same rows however the table is
     partitioned. Only for fitting classifiers.
 
     Hashes above a share of ``over * rows`` rows of ``of`` (``df`` where it is not given; counted first) are filtered where
-    they are read, so that what the tasks send together does not grow with their number.
+    they are read, so that what the tasks send together does not grow with their number. ``where`` is asked of the rows left only.
     """
     n = (df if of is None else of).select(key).count()
     if n > over * rows:
         df = df.filter(F.xxhash64(F.col(key)) <= -(2**63) + int(2**64 * over * rows / n))
+    if where is not None:
+        df = df.filter(where)
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
 
 

@@ -47,8 +47,8 @@ TRIGGER = r"[0-9@]|[\[(] ?[aA][tT] ?[\])]"
 _TRIGGER = re.compile(TRIGGER)
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-# a number's match never starts inside a run of digits: what fails at the run's start fails there too
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+# a number's match never starts inside a run of digits: what fails at the run's start fails there too, so runs that begin none are skipped whole
+_IP = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -116,7 +116,7 @@ def base_spans(text: str) -> list[Span]:
     """The matches of the base patterns as (start, end, kind), by start, then kind as listed."""
     found = [(a, b, "email") for a, b in _emails(text)]
     for kind, pattern in (("ip", _IP), ("card", _CARD), ("phone", _PHONE)):
-        found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if valid(kind, m.group())]
+        found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if (kind != "ip" or m.end(1) > 0) and valid(kind, m.group())]
     return in_order(found)
 
 
@@ -139,8 +139,19 @@ def char_classes(text: Iterable[str]) -> np.ndarray:
 
 @cache
 def _class_table() -> np.ndarray:
-    """``char_classes`` of every code point."""
-    return char_classes(map(chr, range(0x110000))).astype(np.int8)
+    """``char_classes`` of every code point, 0 until a text of this process has it or one of the 255 beside it."""
+    return np.zeros(0x110000, np.int8)
+
+
+def _classes(text: str) -> np.ndarray:
+    """``char_classes`` by the table."""
+    table, codes = _class_table(), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = table[codes]
+    if np.count_nonzero(c) < len(c):
+        for page in np.unique(codes[c == 0] >> 8).tolist():
+            table[page << 8 : (page + 1) << 8] = char_classes(map(chr, range(page << 8, (page + 1) << 8)))
+        c = table[codes]
+    return c
 
 
 class BiLstmCrf:
@@ -278,19 +289,19 @@ class BiLstmCrf:
         return tags, np.take_along_axis(self.marginals(em)[1], tags[:, :, None], 2)[:, :, 0]
 
     def best_tags(self, em: np.ndarray) -> np.ndarray:
-        """Viterbi: the path of the greatest score for every window, all windows at once."""
+        """Viterbi: the path of the greatest score for every window, all windows at once. The tag before one is looked for on the way
+        back, for the tags of the path only."""
         em = np.ascontiguousarray(em.transpose(1, 2, 0))
-        trans = (self.p["next"] + self.banned)[:, :, None]
-        steps, k, n = em.shape
-        best, back = em[0] + (self.p["first"] + self.banned_first)[:, None], np.empty(em.shape, np.int8)
+        trans = self.p["next"] + self.banned
+        steps, n = len(em), em.shape[2]
+        best = np.empty_like(em)
+        best[0] = em[0] + (self.p["first"] + self.banned_first)[:, None]
         for t in range(1, steps):
-            s = best[:, None] + trans
-            back[t] = s.argmax(0)
-            best = em[t] + s.max(0)
-        tags, at = np.empty((steps, n), np.int64), np.arange(n)
-        tags[-1] = best.argmax(0)
+            np.add(em[t], (best[t - 1][:, None] + trans[:, :, None]).max(0), out=best[t])
+        tags = np.empty((steps, n), np.int64)
+        tags[-1] = best[-1].argmax(0)
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t, tags[t], at]
+            tags[t - 1] = (best[t - 1] + trans.take(tags[t], 1)).argmax(0)
         return tags.T
 
     def quick_emissions(self, x: np.ndarray) -> np.ndarray:
@@ -300,7 +311,7 @@ class BiLstmCrf:
         n, steps = x.shape
         blocks, width, top = -(-n // LANES), p["embed"].shape[1], 4 * self.h
         x = np.concatenate([x, np.zeros((blocks * LANES - n, steps), x.dtype)])
-        x = x.T.astype(np.intp).reshape(steps, blocks, LANES)
+        x = np.ascontiguousarray(x.T, np.intp).reshape(steps, blocks, LANES)
         weight = np.zeros((2, 1, top + TAGS, h + width + 1), d)
         weight[:, 0, :top] = self._weights()
         weight[:, 0, top:, :h] = p["out"][:h].T, p["out"][h:].T
@@ -309,54 +320,73 @@ class BiLstmCrf:
         embed = np.ascontiguousarray(p["embed"].T)
         rows = np.zeros((2, blocks, h + width + 1, LANES), d)
         rows[:, :, -1] = 1
-        state, given, taken = rows[:, :, :h], rows[:, :, h:-1].transpose(2, 0, 1, 3), np.empty((width, 2, blocks, LANES), d)
+        state, (ahead, behind) = rows[:, :, :h], rows[:, :, h:-1].transpose(0, 2, 1, 3)
+        # a place is looked up once, when the first direction gets there, and kept for the other
+        inputs = np.empty((steps, width, blocks, LANES), d)
         cell, out = np.zeros((2, blocks, h, LANES), d), np.empty((2, blocks, top + TAGS, LANES), d)
-        g, tags, both = out[:, :, :top], out[:, :, top:], np.empty((2, blocks, LANES), np.intp)
-        em = np.zeros((blocks, steps, TAGS, LANES), d)
+        added = np.empty_like(cell)  # a product of parts of one array written into one of them would copy the other first
+        g = out[:, :, :top]
+        bent, add, forget, show, new = g[:, :, : 3 * h], g[:, :, :h], g[:, :, h : 2 * h], g[:, :, 2 * h : 3 * h], g[:, :, 3 * h :]
+        em, shares = np.empty((steps, TAGS, blocks, LANES), d), out[:, :, top:].transpose(0, 2, 1, 3)
         for t in range(steps + 1):
             if t < steps:
-                both[0], both[1] = x[t], x[steps - 1 - t]
-                given[:] = embed.take(both, 1, taken, "clip")
+                last = steps - 1 - t
+                if t <= last:
+                    embed.take(x[t], 1, inputs[t], "clip")
+                if t < last:
+                    embed.take(x[last], 1, inputs[last], "clip")
+                ahead[:], behind[:] = inputs[t], inputs[last]
             np.matmul(weight, rows, out=out)
             if t:
-                em[:, t - 1] += tags[0]
-                em[:, steps - t] += tags[1]
+                # the first direction at a place writes, the other adds
+                for place, share, fresh in ((t - 1, shares[0], 2 * t <= steps + 1), (steps - t, shares[1], 2 * t <= steps)):
+                    if fresh:
+                        em[place] = share
+                    else:
+                        em[place] += share
             if t < steps:
                 np.tanh(g, out=g)
-                g[:, :, : 3 * h] += 1
-                cell *= g[:, :, h : 2 * h]
-                g[:, :, :h] *= g[:, :, 3 * h :]
-                cell += g[:, :, :h]
+                bent += 1
+                cell *= forget
+                np.multiply(add, new, out=added)
+                cell += added
                 cell *= 0.5
                 np.tanh(cell, out=state)
-                state *= g[:, :, 2 * h : 3 * h]
-        return em
+                state *= show
+        return em.transpose(2, 0, 1, 3)
 
     def may_hold(self, em: np.ndarray) -> np.ndarray:
         """For (block, place, tag, lane) whether the best path of a lane can have a span.
 
-        A path with spans gains over the path without what its spans gain, each from where it begins to where it ends. The greatest gain of a span of
-        each kind is found in one pass; a span right behind another counts as if there were room between them. Where no span gains, the path
-        without spans is the best one; elsewhere decoding decides.
+        A path with spans gains over the path without what its runs of spans one right behind the other gain, each from where it begins to where it
+        ends. The greatest gain of a run is found in one pass over the tags it can end with; from one span right to the next counts as much as where it
+        counts most. Where no run gains, the path without spans is the best one; elsewhere decoding decides.
         """
         trans = self.p["next"].astype(np.float64) - self.p["next"][0, 0]
         begin, inside = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
-        leave = np.maximum(trans[begin, 0], trans[inside, 0])
-        follow = (np.maximum(trans[begin], trans[inside])[:, begin] - leave[:, None]).max(0)
-        enter = np.maximum(np.maximum(trans[0, begin], follow), self.p["first"][begin] - self.p["first"][0])
-        stay = np.maximum(trans[begin, inside], trans[inside, inside])
-        # of a window's last span no transition out of it counts
-        enter, stay, leave = (v.astype(self.dtype)[:, None] for v in (enter, stay, np.maximum(leave, 0)))
-        gain = np.full((len(em), len(KINDS), em.shape[3]), -np.inf, self.dtype)
-        most = gain.copy()
-        for t in range(em.shape[1]):
-            now = em[:, t]
-            gain += now[:, 2::2]
-            gain += stay
-            np.maximum(gain, now[:, 1::2] + enter, out=gain)
-            gain -= now[:, :1]
+        follow, stay = trans[1:, begin].max(), trans[inside, inside]
+        # what every path to a tag has is added once: to begin tags ``follow``, to inside tags ``stay``
+        always = np.ravel([np.full(len(KINDS), follow), stay], "F")
+        first, enter = self.p["first"][begin] - self.p["first"][0] - follow, trans[0, begin] - follow
+        first, enter, always, grow, leave = (v.astype(self.dtype)[:, None] for v in (first, enter, always, trans[begin, inside] - stay, trans[1:, 0]))
+        places = em.transpose(1, 2, 0, 3).reshape(em.shape[1], TAGS, -1)
+        gain = np.full((TAGS - 1, places.shape[2]), -np.inf, self.dtype)
+        most, (begun, within) = gain.copy(), (gain[::2], gain[1::2])
+        either = np.empty_like(begun)
+        half, one = np.empty_like(either[:2]), np.empty_like(either[:1])
+        for t, now in enumerate(places):
+            np.maximum(begun, within, out=either)
+            np.maximum(either[:2], either[2:], out=half)
+            np.maximum(half[:1], half[1:], out=one)
+            np.add(begun, grow, out=either)
+            np.maximum(within, either, out=within)
+            np.maximum(one, enter if t else first, out=begun)
+            gain += now[1:]
+            gain -= now[:1]
+            gain += always
             np.maximum(most, gain, out=most)
-        return (most + leave).max(1) > -1e-3  # rounding must not hide a span
+        # of a window's last span no transition out of it counts; rounding must not hide a span
+        return (np.maximum((most + leave).max(0), gain.max(0)) > -1e-3).reshape(len(em), -1)
 
     def spans(self, x: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, str, float]]]]:
         """The windows that hold spans, and those spans."""
@@ -386,10 +416,12 @@ def window_starts(n: int) -> range:
 
 def text_windows(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The classes of a text's windows: those of full width, and the last one, padded to the next width."""
-    c = _class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    c = _classes(text)
     last = window_starts(len(c))[-1]
-    full = np.lib.stride_tricks.sliding_window_view(c, WINDOW)[:last:STRIDE] if last else np.empty((0, WINDOW), np.int8)
-    return full, np.pad(c[last:], (0, last - len(c) + WIDTHS[bisect_left(WIDTHS, len(c) - last)]))[None]
+    full = np.lib.stride_tricks.as_strided(c, (last // STRIDE, WINDOW), (STRIDE, 1), writeable=False)
+    rest = np.zeros((1, WIDTHS[bisect_left(WIDTHS, len(c) - last)]), np.int8)
+    rest[0, : len(c) - last] = c[last:]
+    return full, rest
 
 
 def _short_window(text: str, start: int) -> np.ndarray:
@@ -546,7 +578,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_ro
     """Fit on at most ``sample_rows`` whole texts with a trigger (smallest hashed ids), labelled by the base patterns, and
     ``made_up`` made-up windows."""
     every = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    part = bounded_sample(every.filter(F.col("t").rlike(TRIGGER)), "doc_id", sample_rows, over=16, of=every)
+    part = bounded_sample(every, "doc_id", sample_rows, over=16, where=F.col("t").rlike(TRIGGER))
     texts = sorted(r.t for r in part.collect())
     return BiLstmCrf().fit(*training_windows(texts, made_up), epochs=10)
 

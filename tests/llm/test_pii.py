@@ -108,6 +108,15 @@ def test_quick_inference_equals_the_network(model):
         assert [s[:3] for s in spans] == [s[:3] for s in want] and np.allclose([s[3] for s in spans], [s[3] for s in want], atol=1e-3)
 
 
+def test_few_windows_without_spans_are_decoded(spark, model):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text]
+    x = np.concatenate([pii.text_windows(t)[0] for t in texts])[: pii.BATCH]
+    em = model.quick_emissions(x)
+    hold = model.may_hold(em).ravel()[: len(x)]
+    spans = model.best_tags(em.transpose(0, 3, 1, 2).reshape(-1, pii.WINDOW, pii.TAGS)[: len(x)]).any(1)
+    assert not (spans & ~hold).any() and (hold & ~spans).mean() < 0.1
+
+
 def test_decoding_equals_all_tag_sequences():
     rng = np.random.default_rng(3)
     net = BiLstmCrf(dtype=np.float64)
